@@ -12,6 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import importance
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = importance.fit(docs, table(spark, sf_dir, "labels")).marked(docs)
+    return marked.select("row.doc_id", (F.col("weight") / importance.UNIT).alias("log_weight"), ((F.col("weight") + F.col("noise")) / importance.UNIT).alias("gumbel_key"), "kept")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import rules
 
@@ -61,6 +69,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
 }
