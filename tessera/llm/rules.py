@@ -89,6 +89,8 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("_windows", F.expr("CASE WHEN size(_words) < 3 THEN CAST(array() AS array<bigint>) ELSE transform(sequence(0, size(_words) - 3), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2])) END"))
         .withColumns(
             {
+                # Not deterministic for Catalyst: a filter on what follows isn't pushed below, where it would repeat all this.
+                "_row": F.monotonically_increasing_id(),
                 "n_words": F.size("_words").cast("long"),
                 "word_chars": F.char_length(_without(F.col("_spaced"), " ")).cast("long"),
                 "n_symbols": _count_of(F.col("_text"), SYMBOLS),
@@ -114,7 +116,7 @@ def ledger(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     for rule in RULES:
         bit = F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(0)
         bits = bit if bits is None else bits.bitwiseOR(bit)
-    return measured.withColumn("failures", bits.cast("long"))
+    return measured.withColumn("failures", F.when(F.col("_row") >= 0, bits.cast("long"))).drop("_row")
 
 
 def judge(entries: DataFrame, policy: str = PRODUCTION) -> DataFrame:
@@ -152,4 +154,4 @@ def keep(docs: DataFrame, text_col: str = "text", policy: str = PRODUCTION) -> D
     for rule in RULES:
         if rule.name in POLICIES[policy]:
             fails = fails | F.expr(rule.fails)
-    return measured.filter(~fails).select("row.*")
+    return measured.filter((F.col("_row") >= 0) & ~fails).select("row.*")

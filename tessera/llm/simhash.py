@@ -11,6 +11,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -117,8 +118,6 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Da
 
 
 def _fingerprint_udf():
-    import pandas as pd
-
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64))
