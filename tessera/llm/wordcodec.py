@@ -11,8 +11,8 @@ import re
 #: Chunks that a memo holds before it starts over.
 MEMO = 400_000
 #: str.split() also splits at these four, which aren't white space in Unicode.
-_NOT_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-_SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+_NOT_SPACE = re.compile("[\x1c-\x1f]")
+_SPACE = re.compile("[" + "".join(map(chr, (*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))) + "]+")
 
 
 def chunks(text: str) -> list[str]:
