@@ -56,6 +56,28 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm import warc
+
+    found = warc.archive(table(spark, sf_dir, "pages"))
+    number = lambda name: F.expr(f"try_cast(metadata[0].fields['{name}'] AS BIGINT)")
+    return found.select(number("page-id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), number("refers-to-page").alias("refers_to"))
+
+
+OP10_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes,
+         list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           CAST((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)), 'string_agg', '') AS payload_digest,
+         max(page_id) OVER (PARTITION BY body) AS latest
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN latest = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN latest <> page_id THEN latest END AS refers_to FROM d
+"""
+
 OP7_SQL = r"""
 WITH a AS (
   SELECT doc_id, coalesce(text, '') AS t,
@@ -94,7 +116,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {
     "op7_quality_rules": OP7_SQL,
+    "op10_warc": OP10_SQL,
 }
