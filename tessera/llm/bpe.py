@@ -8,31 +8,20 @@ looked up, and so are the words in them.
 
 from __future__ import annotations
 
-import json
-import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import text_of
-from tessera.llm.packing import portions
-from tessera.llm.wordcodec import MEMO, chunks, tokenizer_path
+from tessera.llm.wordcodec import MEMO, Words, byte_letters, chunks, portions, tokenizer_path
 
 _NONE = 1 << 62
 
 
-def byte_letters() -> list[str]:
-    """The printable character that stands for each byte: itself if printable in Latin-1, else the next from 256 on."""
-    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
-
-
 class SegmentTree:
     """The least of ``leaves``, with point updates."""
 
@@ -66,11 +55,12 @@ class Codec:
     """A BPE vocabulary with word ends, from a tokenizers file."""
 
     def __init__(self, path: str) -> None:
-        spec = json.load(open(path, encoding="utf-8"))
-        model = spec["model"]
+        self.words = Words(path)
+        self.cut = self.words.cut
+        model = self.words.spec.pop("model")
         vocab: dict[str, int] = model["vocab"]
         suffix = model.get("end_of_word_suffix") or ""
-        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special = self.words.special
         self.strings = {i: s for s, i in (vocab | self.special).items()}
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
@@ -81,10 +71,6 @@ class Codec:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[vocab[a], vocab[b]] = rank
             self.made.append(vocab[a + b])
-        split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        # White space is gone from chunks; what regex calls so beyond Unicode's White_Space is a symbol here.
-        self.words = regex.compile(split.replace(r"[^\s", r"[^"))
-        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def word(self, word: str) -> tuple[int, ...]:
@@ -119,13 +105,10 @@ class Codec:
 
     def chunk(self, chunk: str) -> list[int]:
         """The ids of a text without white space and special tokens."""
-        text = unicodedata.normalize("NFC", chunk) if not chunk.isascii() else chunk
-        # One character at a time: a final sigma isn't told apart.
-        text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
         if len(self.memo) > MEMO:
             self.memo = {}
         out: list[int] = []
-        for word in self.words.findall(text):
+        for word in self.words.of(chunk):
             ids = self.memo.get(word)
             if ids is None:
                 ids = self.memo[word] = self.word(word)

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import stored, text_of
-from tessera.llm.wordcodec import MEMO, chunks, tokenizer_path
+from tessera.llm.wordcodec import MEMO, Words, byte_letters, chunks, portions, tokenizer_path
 
 CAPACITY, END = 2048, 0
 ROUNDS = 120
@@ -29,7 +28,10 @@ RANKED = 200_000
 
 
 class Encoder:
-    """Ids of the tokenizers library, as little-endian unsigned 32-bit integers in bytes."""
+    """Ids of the tokenizers library, as little-endian unsigned 32-bit integers in bytes.
+
+    Its model encodes each different word once; chunks and words met before are looked up.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -37,36 +39,37 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def many(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text. Chunks not met before are encoded together."""
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        memo = self.memo
-        parted = [None if any(s in t for s in self.special) else chunks(t) for t in texts]
-        new = list(dict.fromkeys(c for c in chain.from_iterable(p for p in parted if p is not None) if c not in memo))
-        for at in range(0, len(new), 4096):
-            for c, e in zip(new[at : at + 4096], self.tokenizer.encode_batch_fast(new[at : at + 4096], add_special_tokens=False), strict=True):
-                memo[c] = np.array(e.ids, "<u4").tobytes()
-        for text, part in zip(texts, parted, strict=True):
-            if part is None:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            else:
-                yield b"".join([memo[c] for c in part])
-
-
-def portions(texts: list[str], size: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Runs of the texts of about ``size`` characters, with the place of the first."""
-    at = 0
-    while at < len(texts):
-        end, n = at, 0
-        while end < len(texts) and (n == 0 or n < size):
-            n += len(texts[end]) + 1
-            end += 1
-        yield at, texts[at:end]
-        at = end
+        self.model = self.tokenizer.model
+        self.words = Words(path)
+        del self.words.spec
+        self.letters = {b: ord(c) for b, c in enumerate(byte_letters())}
+        self.chunks: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    def _chunk(self, chunk: str) -> bytes:
+        out = []
+        for word in self.words.of(chunk):
+            data = self.known.get(word)
+            if data is None:
+                tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+                data = self.known[word] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+            out.append(data)
+        return b"".join(out)
+
+    def ids(self, text: str) -> bytes:
+        if self.words.cut and self.words.cut.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.chunks) > MEMO:
+            self.chunks = {}
+        if len(self.known) > MEMO:
+            self.known = {}
+        memo, out = self.chunks, []
+        for c in chunks(text):
+            data = memo.get(c)
+            if data is None:
+                data = memo[c] = self._chunk(c)
+            out.append(data)
+        return b"".join(out)
 
 
 def pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
@@ -80,7 +83,7 @@ def pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capa
             ids = batch.column(0).to_pylist()
             for first, texts in portions(batch.column(1).to_pylist()):
                 rows = []
-                for k, data in enumerate(encoder.many(texts), first):
+                for k, data in enumerate(map(encoder.ids, texts), first):
                     data += end
                     for p, at in enumerate(range(0, len(data), 4 * capacity)):
                         cut = data[at : at + 4 * capacity]

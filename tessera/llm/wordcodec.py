@@ -6,7 +6,12 @@ space, a chunk's ids don't depend on its neighbours. Memos are bounded and start
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
+from collections.abc import Iterator
+
+import regex
 
 #: Chunks that a memo holds before it starts over.
 MEMO = 400_000
@@ -26,3 +31,41 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def portions(texts: list[str], size: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+    """Runs of the texts of about ``size`` characters, with the place of the first."""
+    at = 0
+    while at < len(texts):
+        end, n = at, 0
+        while end < len(texts) and (n == 0 or n < size):
+            n += len(texts[end]) + 1
+            end += 1
+        yield at, texts[at:end]
+        at = end
+
+
+def byte_letters() -> list[str]:
+    """The printable character that stands for each byte: itself if printable in Latin-1, else the next from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(spare)) for b in range(256)]
+
+
+class Words:
+    """The normaliser and pre-tokenizer of a tokenizers file: NFC, lower case, and its pattern for words."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as f:
+            self.spec = json.load(f)
+        self.special: dict[str, int] = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
+        pattern = next(p["pattern"]["Regex"] for p in self.spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+        # White space is gone from chunks; what regex calls so beyond Unicode's White_Space is a symbol here.
+        self.pattern = regex.compile(pattern.replace(r"[^\s", r"[^"))
+        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+
+    def of(self, chunk: str) -> list[str]:
+        """The words of a text without white space and special tokens."""
+        text = chunk if chunk.isascii() else unicodedata.normalize("NFC", chunk)
+        # One character at a time where a final sigma would be told apart.
+        return self.pattern.findall("".join(map(str.lower, text)) if "\u03a3" in text else text.lower())
