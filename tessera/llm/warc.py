@@ -36,18 +36,23 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*letters)
 
 
-def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
+def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, refers_to): of equal payloads the largest id is the response.
 
     ``refers_to`` is null for responses. Null payloads are empty. Rows of the same id and payload are each a response
-    if that id is the largest. Only digests and ids are shuffled, payloads stay where they were read.
+    if that id is the largest. Which id that is, is found on ids and digests alone; payloads move once, by id and digest
+    into partitions of about ``archive_bytes``, however many are equal.
     """
     payload = text_of(html_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), text_of(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary")))
-    latest = rows.filter(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("latest"))
-    joined = rows.join(latest, ["payload_digest", "payload_bytes"], "left")
-    return joined.withColumn("refers_to", F.when(F.col("latest") != F.col("page_id"), F.col("latest"))).drop("latest")
+    key, what = ["page_id", "payload_digest", "payload_bytes"], ["payload_digest", "payload_bytes"]
+    marks = rows.select(*key).filter(F.col("payload_bytes") >= min_revisit).distinct()
+    latest = marks.groupBy(*what).agg(F.max("page_id").alias("refers_to"))
+    revisits = marks.join(latest, what).filter("refers_to <> page_id").select(*key, "refers_to")
+    total = pages.select(F.sum(F.octet_length(payload))).first()[0] or 0
+    archives = max(1, -(-total // archive_bytes))
+    return rows.repartition(archives, *key).join(revisits.repartition(archives, *key), key, "left")
 
 
 def _clean(value: Column) -> Column:
@@ -83,10 +88,9 @@ def record_texts(found: DataFrame) -> DataFrame:
     return found.select(F.concat_ws("\r\n", request, F.when(F.col("refers_to").isNull(), response).otherwise(revisit), metadata).alias("value"))
 
 
-def write(found: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Write the captures as gzip archives of about ``archive_bytes`` of payload each."""
-    total = found.select(F.sum("payload_bytes")).first()[0] or 0
-    record_texts(found.repartition(max(1, -(-total // archive_bytes)))).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+def write(found: DataFrame, path: str) -> None:
+    """Write the captures as gzip archives, one for each partition."""
+    record_texts(found).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
