@@ -16,7 +16,7 @@ PARSED = f"texts ARRAY<STRUCT<text: STRING, label: STRING, prov: {_PROV}>>, tabl
 
 def files(spark: SparkSession, path: str, pattern: str = "*.{md,html,json}", recursive: bool = False) -> DataFrame:
     """(path, file_name, stem, format, content): whole files; an unknown extension has the format null."""
-    raw = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).text(path)
+    raw = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive)
     full = raw.select(F.expr("_metadata.file_path").alias("path"), F.expr("_metadata.file_name").alias("file_name"), F.col("value").alias("content"))
     ext = F.lower(F.regexp_extract("file_name", r"\.([^.]+)$", 1))
     known = F.create_map(*[F.lit(x) for kv in FORMATS.items() for x in kv])
