@@ -206,6 +206,54 @@ def test_contexts_help_held_out(spark):
     assert score > base * 0.6
 
 
+def test_contexts_of_a_fixed_count_in_a_larger_corpus(spark):
+    """Two words that occur 100 times, always together, among 1.2 million tokens: under 1e-4 of them, yet a state."""
+    filler = " ".join(f"w{k % 40}" for k in range(6000))
+    texts = [filler] * 200 + ["rareone raretwo"] * 112
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = pst.score(docs).filter("held_out AND n_tokens = 3").collect()
+    assert rows and all(r.train_tokens > 1_000_000 and r.score > r.base_score + 1 for r in rows)
+
+
+def test_scores_as_brute_force(spark):
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice("aaabbcdefg"[: 3 + k % 8]) for _ in range(rng.randint(0, 60))) for k in range(150)]
+    train = [zlib.crc32(str(k).encode()) % 10 != 0 for k in range(len(texts))]
+    words = [[*t.split(), None] for t in texts]
+    grams = [Counter(tuple(w[k - o : k + 1]) for w, yes in zip(words, train, strict=True) if yes for k in range(o, len(w))) for o in (0, 1, 2)]
+    n, v = sum(grams[0].values()), len(grams[0])
+    base = {w: (c + pst.PSEUDO) / (n + pst.PSEUDO * (v + 1)) for (w,), c in grams[0].items()}
+    held = {}
+    for o in (1, 2):
+        for context, total in grams[o - 1].items():
+            after = {g[-1]: c for g, c in grams[o].items() if g[:-1] == context and c >= 2 and grams[0][g[-1:]] >= pst.LEAST}
+            if total < pst.LEAST or None in context or not after:
+                continue
+            mass = sum(after.values())
+            if o == 1:
+                q = {w: base[w] for w in after}
+            else:
+                back = {w: max(grams[1][context[1], w] if grams[1][context[1], w] >= 2 else 0, pst.PSEUDO) for w in after}
+                q = {w: back[w] / sum(back.values()) * mass / total for w in after}
+            rest, qrest = 1 - mass / total, max(1 - sum(q.values()), 1e-12)
+            kl = sum(c / total * np.log(c / total / q[w]) for w, c in after.items()) + (rest * np.log(rest / qrest) if rest > 0 else 0)
+            if kl >= pst.DIVERGENCE:
+                held[context] = after, total, mass
+    assert {len(c) for c in held} == {1, 2}
+    want = {}
+    for k, w in enumerate(words):
+        want[k] = 0
+        for at in range(len(w)):
+            p = base[w[at]]
+            for o in (1, 2):
+                if at >= o and tuple(w[at - o : at]) in held:
+                    after, total, mass = held[tuple(w[at - o : at])]
+                    p = (after.get(w[at], 0) + (pst.SMOOTHING + total - mass) * p) / (total + pst.SMOOTHING)
+            want[k] += log10(p)
+    got = {r.doc_id: r.score for r in pst.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 # -- HTML
 
 
