@@ -19,7 +19,7 @@ from tessera.llm.common import crc_remainder, text_of
 
 #: Bounds of the training sample: characters of each language, documents they come from, characters of one document.
 TRAIN_CHARS, TRAIN_DOCS, DOC_CHARS = 40_000, 200, 400
-#: Languages learned at most, the most frequent ones.
+#: Languages whose automata are held at once, and whose samples are drawn by one query; more are taken in turn.
 LANGUAGES = 64
 #: Letters of a block, and blocks that are parsed side by side.
 BLOCK, BESIDE = 1024, 4096
@@ -88,7 +88,7 @@ class Automaton:
 
 
 class Parser:
-    """Automata of all languages over one alphabet."""
+    """Automata of some languages over one alphabet."""
 
     def __init__(self, samples: dict[str, str]) -> None:
         self.names = sorted(samples)
@@ -122,6 +122,13 @@ class Parser:
         return out
 
 
+def parsers(samples: dict[str, str]) -> Iterator[Parser]:
+    """All languages by name, in groups that are held at once."""
+    names = sorted(samples)
+    for at in range(0, len(names), LANGUAGES):
+        yield Parser({name: samples[name] for name in names[at : at + LANGUAGES]})
+
+
 def best(phrases: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The language with the fewest normalised phrases (ties: the first by name) and 1 - best / runner-up."""
     cost = phrases * np.log2(np.maximum(sizes, 2))[None, :]
@@ -142,8 +149,8 @@ def held_out(doc_id: str = "doc_id"):
 def samples(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, str]:
     """Labelled text by language, from documents that aren't held out: a bounded sample, the lowest hashes first."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(~held_out("doc_id") & F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
-    names = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    cut = known.filter(F.col("lang").isin(names)).select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, 2 * DOC_CHARS).alias("text"))
+    names = [r["lang"] for r in known.groupBy("lang").count().orderBy("lang").collect()]
+    cut = known.select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, 2 * DOC_CHARS).alias("text"))
     out: dict[str, list[str]] = {}
     for row in _lowest(cut, names):
         out.setdefault(row["lang"], []).append(letters(row["text"])[:DOC_CHARS])
@@ -152,11 +159,12 @@ def samples(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
 
 def _lowest(cut: DataFrame, names: list[str]):
     """Per language the rows of the lowest hashes: a top-k each, so nothing is sorted whole."""
-    some = None
-    for name in names:
-        rows = cut.filter(F.col("lang") == name).orderBy("h", "text").limit(TRAIN_DOCS)
-        some = rows if some is None else some.union(rows)
-    return [] if some is None else some.collect()
+    for at in range(0, len(names), LANGUAGES):
+        some = None
+        for name in names[at : at + LANGUAGES]:
+            rows = cut.filter(F.col("lang") == name).orderBy("h", "text").limit(TRAIN_DOCS)
+            some = rows if some is None else some.union(rows)
+        yield from some.collect()
 
 
 def predict(docs: DataFrame, learned: dict[str, str], text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -164,7 +172,9 @@ def predict(docs: DataFrame, learned: dict[str, str], text_col: str = "text", id
     no language was learned."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = Parser(learned) if learned else None
+        names_of, sizes = sorted(learned), np.array([len(learned[name]) for name in sorted(learned)])
+        # One group stays for all batches; of more, each is built anew for a portion of texts and then dropped.
+        few = list(parsers(learned)) if len(learned) <= LANGUAGES else None
         for batch in batches:
             raw = batch.column(1).to_pylist()
             at = 0
@@ -176,11 +186,12 @@ def predict(docs: DataFrame, learned: dict[str, str], text_col: str = "text", id
                 texts = [letters(t) for t in raw[at:end]]
                 names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
                 full = [k for k, t in enumerate(texts) if t]
-                if parser and full:
-                    first, score = best(parser.phrases([texts[k] for k in full]), np.array([a.size for a in parser.automata]))
+                if learned and full:
+                    some = [texts[k] for k in full]
+                    first, score = best(np.concatenate([p.phrases(some) for p in few or parsers(learned)], axis=1), sizes)
                     scores[full] = score
                     for k, j in zip(full, first.tolist(), strict=True):
-                        names[k] = parser.names[j]
+                        names[k] = names_of[j]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
                 at = end
 

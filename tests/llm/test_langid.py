@@ -48,3 +48,16 @@ def test_accuracy_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     found = langid.identify(docs).filter("held_out").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
     assert (found.lang_pred == found.lang).mean() > 0.97
+
+
+def test_more_languages_than_are_held_at_once(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    words = {"aa": "abcab bca", "bb": "defde fed", "cc": "ghigh ihg", "dd": "jkljk lkj", "ee": "mnomn onm"}
+    docs = spark.createDataFrame([(9 * k + j, t, lang) for k, (lang, t) in enumerate(words.items()) for j in range(9)], "doc_id long, text string, lang string")
+    rows = langid.identify(docs).collect()
+    assert len(rows) == 45 and all(r.lang_pred == list(words)[r.doc_id // 9] for r in rows)
+    rng = random.Random(8)
+    samples = {name: "".join(rng.choice("abcde ") for _ in range(200)) for name in words}
+    texts = ["".join(rng.choice("abcdefx ") for _ in range(500)) for _ in range(20)]
+    grouped = np.concatenate([p.phrases(texts) for p in langid.parsers(samples)], axis=1)
+    assert grouped.tolist() == langid.Parser(samples).phrases(texts).tolist()
