@@ -37,7 +37,8 @@ _ENDS = {
 }
 _SCOPE = {"table", "td", "th", "caption", "button", "html"}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+|[^>]*)>|<[!?][^>]*>|</?[a-zA-Z!?][^>]*\Z""", re.S)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+#: An attribute from the left: its name, and its value by kind of quotes.
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s>/=]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?|["'=]""")
 _WORD = re.compile(r"[a-z]+")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -135,7 +136,7 @@ def parse(page: str) -> Tree:
         if tag in _ENDS:
             end(*_ENDS[tag])
         found, hides = [], tag in HIDDEN
-        for name, a, b, c in _NAMES.findall(m[3]):
+        for name, a, b, c in _ATTRIBUTE.findall(m[3]):
             value, name = a or b or c, name.lower()
             if name in ("class", "id", "role"):
                 found += _WORD.findall(value.lower())

@@ -282,6 +282,18 @@ def test_messages_as_enumeration():
     assert all(abs(1 / (1 + math.exp(-full[k])) - mass[k] / total) < 1e-9 for k in range(n))
 
 
+def test_only_hiding_attributes_hide():
+    shown = ['href="/wiki/Hidden_Figures"', 'title="A hidden gem"', 'data-hidden="false"', "href=/a/hidden", 'alt="x" data-x=\'hidden style="display:none"\'', 'data-style="display:none"', 'aria-hidden="false"', 'title="class=hidden"', "title = hidden"]
+    gone = ["hidden", 'hidden=""', "HIDDEN", 'class="a"hidden', "aria-hidden=true", 'style="color:red; display: none"', "style=display:none", 'title="a > b" hidden', "data-a = 'b' hidden"]
+    text = lambda page: [t for t in html_extract.parse(page).text if t]
+    for a in shown:
+        assert text(f"<p {a}>text</p>") == ["text"], a
+    for a in gone:
+        assert text(f"<p {a}>text</p>") == [], a
+    tree = html_extract.parse("<div data-class='no' class='one two' id=three title=\"id='four'\">x</div>")
+    assert tree.names[1] == ("one", "two", "three")
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>a &amp; b<p>c<script>x</p>"), (None, "u", "<" * 5000), (4, "u", "<div>" * 3000 + "deep" + "</div>" * 10), (5, "u", "a<!-- b")], "page_id long, url string, html string")
     rows = html_extract.extract(pages).collect()
