@@ -80,7 +80,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Windows are compared by their 64-bit hash within a text.
     """
-    lines = F.expr(r"filter(split(_text, '\n'), x -> length(btrim(x, ' \t\u000b\f\r')) > 0)")
+    lines = F.filter(F.split("_text", "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
     return (
         docs.withColumn("_text", text_of(text_col))
         .withColumn("_spaced", _without(F.col("_text"), BLANKS[1:], " "))
@@ -105,6 +105,15 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def _with_failures(measured: DataFrame) -> DataFrame:
+    """``measured`` with ``failures``, the bits of the rules that fail."""
+    bits = None
+    for rule in RULES:
+        bit = F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(0)
+        bits = bit if bits is None else bits.bitwiseOR(bit)
+    return measured.withColumn("failures", F.when(F.col("_row") >= 0, bits.cast("long"))).drop("_row")
+
+
 def ledger(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: its id, the measurements and ``failures``, the bits of the rules that it fails.
 
@@ -112,11 +121,7 @@ def ledger(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> D
     are not looked at, whatever their names. An empty table gives an empty ledger.
     """
     measured = measure(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text").drop("text")
-    bits = None
-    for rule in RULES:
-        bit = F.when(F.expr(rule.fails), F.lit(1 << rule.bit)).otherwise(0)
-        bits = bit if bits is None else bits.bitwiseOR(bit)
-    return measured.withColumn("failures", F.when(F.col("_row") >= 0, bits.cast("long"))).drop("_row")
+    return _with_failures(measured)
 
 
 def judge(entries: DataFrame, policy: str = PRODUCTION) -> DataFrame:
@@ -147,11 +152,7 @@ def ablation(entries: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, text_col: str = "text", policy: str = PRODUCTION) -> DataFrame:
-    """The rows of ``docs`` that the policy accepts, with their own columns only."""
+    """The rows of ``docs`` that the policy accepts by their ledger, with their own columns only; rows as in :func:`ledger`."""
     boxed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    measured = measure(boxed.withColumn("text", F.col("row").getField(text_col)), "text")
-    fails = F.lit(False)
-    for rule in RULES:
-        if rule.name in POLICIES[policy]:
-            fails = fails | F.expr(rule.fails)
-    return measured.filter((F.col("_row") >= 0) & ~fails).select("row.*")
+    entries = _with_failures(measure(boxed.withColumn("text", F.col("row").getField(text_col)), "text"))
+    return judge(entries, policy).filter("kept").select("row.*")
