@@ -62,6 +62,8 @@ def parse(page: str) -> Tree:
     """The blocks of a page and their text: entities decoded, white space as one space, inline elements dissolved."""
     tree, at = Tree(), 0
     opened: list[tuple[str, int, bool]] = [("html", 0, False)]  # tag, its block node, whether it hides its content
+    where: dict[str, list[int]] = {"html": [0]}  # the depths at which a tag is open
+    blocks = [0]  # the depths of open blocks
     run: list[str] = []
     in_link = linked = hidden = 0
 
@@ -84,20 +86,23 @@ def parse(page: str) -> Tree:
 
     def pop(depth: int) -> None:
         nonlocal in_link, hidden
-        if any(t in BLOCK for t, _, _ in opened[depth:]):
+        if blocks[-1] >= depth:
             flush()
         for tag, _, hides in opened[depth:]:
             in_link -= tag == "a"
             hidden -= hides
+            where[tag].pop()
         del opened[depth:]
+        while blocks[-1] >= depth:
+            blocks.pop()
 
-    def end(tags: set[str] | frozenset[str], scope: set[str]) -> None:
-        for depth in range(len(opened) - 1, 0, -1):
-            if opened[depth][0] in tags:
-                return pop(depth)
-            if opened[depth][0] in scope:
-                return None
-        return None
+    def last(tags: Iterable[str]) -> int:
+        """The depth of the innermost open element of these tags; 0 if there is none inside the page."""
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
+
+    def end(tags: Iterable[str], scope: Iterable[str]) -> None:
+        if (depth := last(tags)) > last(scope):
+            pop(depth)
 
     n = len(page)
     while at < n:
@@ -112,12 +117,8 @@ def parse(page: str) -> Tree:
             continue
         tag = tag.lower()
         if m[1]:
-            for depth in range(len(opened) - 1, 0, -1):
-                if opened[depth][0] == tag:
-                    pop(depth)
-                    break
-                if tag not in BLOCK and opened[depth][0] in BLOCK and tag != "a" and tag not in HIDDEN:
-                    break
+            if (depth := last((tag,))) > (0 if tag in BLOCK or tag == "a" or tag in HIDDEN else blocks[-1]):
+                pop(depth)
             continue
         if tag in ("br", "hr"):
             if tag == "hr":
@@ -152,6 +153,8 @@ def parse(page: str) -> Tree:
         if tag in BLOCK:
             flush()
             node = tree.add(node, tag, tuple(dict.fromkeys(found)))
+            blocks.append(len(opened))
+        where.setdefault(tag, []).append(len(opened))
         opened.append((tag, node, hides))
         hidden += hides
         in_link += tag == "a"
