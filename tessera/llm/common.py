@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +15,59 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+#: Bytes that a memo of a Python worker holds, and the longest key that it keeps.
+MEMO_BYTES, LONGEST = 16 << 20, 64
+#: What an entry of a memo takes besides its key and value, about: two objects and a place in the dict.
+ENTRY_BYTES = 200
+#: Characters of texts that are Python objects at a time.
+PORTION = 1_000_000
+#: Rows of a key from which a join sends its partner to all tasks; at least so many keys can't be that frequent.
+FREQUENT, FREQUENT_KEYS = 1_000, 100_000
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Memo(dict):
+    """What was worked out before by key, in bounded bytes: it starts over when full, and long keys aren't kept."""
+
+    def __init__(self, most: int = MEMO_BYTES) -> None:
+        super().__init__()
+        self.most, self.held = most, 0
+
+    def keep(self, key, value, size: int) -> None:
+        """Remember ``value``; ``size`` is the bytes of key and value."""
+        if len(key) > LONGEST:
+            return
+        self.held += size + ENTRY_BYTES
+        if self.held > self.most:
+            self.clear()
+            self.held = size + ENTRY_BYTES
+        self[key] = value
+
+
+def portions(column: pa.Array, size: int = PORTION) -> Iterator[tuple[int, list[str]]]:
+    """Runs of an Arrow column of texts of about ``size`` bytes, with the place of the first: only one is in Python at once."""
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < len(column):
+        end, n = at, 0
+        while end < len(column) and (n == 0 or n < size):
+            n += int(lengths[end]) + 1
+            end += 1
+        yield at, column.slice(at, end - at).to_pylist()
+        at = end
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a temporary folder is set.
+    Where the session has none, one is set on the driver's machine if that is the whole cluster; else it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -34,13 +79,34 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there."""
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, and the shuffle files of the
+    writing are deleted with its end."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
+    path, before = shared_path(spark, name), spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def spread_join(rows: DataFrame, names: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` inner-joined with ``names``, which has each key once and in ``count`` how many rows have it.
+
+    Keys that hold a 100,000th of all ``total`` rows or more (at least 1,000 rows) are joined by sending their names, which
+    are 100,000 at most, to all tasks; so no key meets in one task. ``count`` is dropped.
+    """
+    least = max(FREQUENT, total // FREQUENT_KEYS)
+    hot = names.filter(F.col(count) >= least).drop(count)
+    cold = names.filter(F.col(count) < least).drop(count)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
+
+
 def forget(spark: SparkSession, path: str) -> None:
     """Delete a path that :func:`stored` made, on whatever file system it is."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -1,7 +1,7 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
-Each step is an aggregation by node and a join on it, so no component ever meets in one task. Links are written to the
-shared folder after every round, which also ends their lineage.
+Each step is an aggregation by node and a join on it, in which a node of very many links is sent to the links instead
+of meeting them in one task. Links are written to the shared folder after every round, which also ends their lineage.
 """
 
 from __future__ import annotations
@@ -9,14 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import forget, stored
+from tessera.llm.common import forget, spread_join, stored
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+def _star(links: DataFrame, large: bool, total: int) -> DataFrame:
     """links (u, v) -> the links of the next step; ``large`` hangs larger neighbours on the least one, else smaller ones."""
-    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    near = both.join(least, "u")
+    if large:
+        both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    else:
+        both = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).select("u", F.least("u", "m").alias("m"), "_n")
+    near = spread_join(both, least, ["u"], "_n", total)
     if large:
         moved = near.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -32,8 +35,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         state = links.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
         if not state["n"] or (state["n"], state["x"]) == seen:
-            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            roots = links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return links.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
         seen = (state["n"], state["x"])
-        after, new = stored(_star(_star(links, True), False), "links")
+        after, new = stored(_star(_star(links, True, 2 * state["n"]), False, state["n"]), "links")
         forget(spark, path)
         links, path = after, new

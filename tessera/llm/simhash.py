@@ -8,16 +8,16 @@ different fingerprints can share a key: candidates grow with the rows and not wi
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, stored, text_of
+from tessera.llm.common import forget, portions, spread_join, stored, text_of
 from tessera.llm.components import components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 3, 3, 42
@@ -43,12 +43,14 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long. Null texts count as empty."""
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.fromiter((fingerprint(t) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in portions(batch.column(1)):
+                found = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return map_batches(ids, step, "doc_id long, fp long")
+    return ids.mapInArrow(run, "doc_id long, fp long")
 
 
 def _masks(free: int, blocks: int, chosen: int) -> list[int]:
@@ -79,15 +81,18 @@ def _pairs(rows: DataFrame, on: list[str]) -> DataFrame:
 def links(distinct: DataFrame) -> DataFrame:
     """(fp) without repeats -> (u, v), u < v, all pairs at most three bits apart; a pair may come more than once."""
     outer = _masks((1 << BITS) - 1, BLOCKS, BLOCKS - DISTANCE)
-    by_key = "OVER (PARTITION BY mask, key)"
     rows = distinct.select("fp", F.explode(_keyed(_masks_column(outer))).alias("b")).select("fp", F.col("b.part").alias("mask"), F.col("b.sub").alias("key"))
-    rows = rows.withColumn("n", F.expr(f"count(*) {by_key}")).filter("n > 1")
-    rows, _ = stored(rows, "blocks")
-    light = _pairs(rows.filter(F.col("n") <= SPLIT_FROM), ["mask", "key"])
+    counts, path = stored(rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "blocks")
+    shared = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    light = rows.join(counts.filter(F.col("n") <= SPLIT_FROM).drop("n"), ["mask", "key"])
+    dense = spread_join(rows, counts.filter(F.col("n") > SPLIT_FROM), ["mask", "key"], "n", shared)
     everything = (1 << BITS) - 1
     inner = F.array(*[_masks_column(_masks(everything & ~m, 9, 6)) for m in outer])
-    dense = rows.filter(F.col("n") > SPLIT_FROM).select("mask", "key", "fp", F.explode(_keyed(F.element_at(inner, F.col("mask") + 1))).alias("b")).select("mask", "key", "fp", "b.part", "b.sub")
-    return light.union(_pairs(dense, ["mask", "key", "part", "sub"]))
+    parts = dense.select("mask", "key", "fp", F.explode(_keyed(F.element_at(inner, F.col("mask") + 1))).alias("b"))
+    dense = parts.select("mask", "key", "fp", "b.part", "b.sub")
+    found, _ = stored(_pairs(light, ["mask", "key"]).union(_pairs(dense, ["mask", "key", "part", "sub"])), "pairs")
+    forget(distinct.sparkSession, path)
+    return found
 
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -95,31 +100,47 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
 
     ``root`` names the component by one of its fingerprints, ``component_id`` by its smallest doc_id (null only if all
     its ids are null). Texts without words have fingerprint zero and link like others. Equal fingerprints are one node.
+    Repeated rows come as often as they are; columns other than id and text aren't looked at. Ids are aggregated by
+    fingerprint first, so what is joined and grouped by root is distinct fingerprints.
     """
     marked, _ = stored(fingerprints(docs, text_col, id_col), "fingerprints")
-    nodes = components(links(marked.select("fp").distinct()))
-    rooted = marked.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rooted.join(least, "root").select("doc_id", "fp", "root", "component_id")
+    prints = marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    nodes = components(links(prints.select("fp")))
+    linked = nodes.withColumnRenamed("node", "fp").join(prints, "fp")
+    sizes = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("_fps"))
+    total = nodes.count()
+    named = spread_join(linked.select("fp", "n", "root"), sizes, ["root"], "_fps", total)
+    alone = prints.join(nodes, F.col("fp") == F.col("node"), "left_anti").select("fp", "n", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    names, _ = stored(named.select("fp", "n", "root", "component_id").unionByName(alone), "names")
+    return spread_join(marked, names, ["fp"], "n", marked.count()).select("doc_id", "fp", "root", "component_id")
 
 
 def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row of ``docs`` for each component: that with the smallest id; of rows with the same id, one."""
-    found = near_duplicates(docs, text_col, id_col)
-    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("f")).select("f.doc_id", "f.fp")
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), row)
-    single = named.filter("doc_id IS NOT NULL").join(first.filter("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("row.*")
-    # Rows without an id stay only where no row of their component has one; their fingerprints name them.
-    bare = docs.filter(F.col(id_col).isNull())
-    prints = bare.withColumn("_fp_of_row", _fingerprint_udf()(text_of(text_col)))
-    alone = prints.join(first.filter("doc_id IS NULL").select(F.col("fp").alias("_fp_of_row")).distinct(), "_fp_of_row", "left_semi").dropDuplicates(["_fp_of_row"]).select(*docs.columns)
-    return single.union(alone)
+    """One row of ``docs`` for each component, as it is: that with the smallest id (rows without an id come last); of
+    rows with the same id and fingerprint, one.
+
+    A row is found by its id; where an id is null or its rows differ in their fingerprints, by id and fingerprint.
+    """
+    found = near_duplicates(docs, text_col, id_col).select("doc_id", "fp", "root")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")
+    first, _ = stored(found.groupBy("root").agg(F.min(place).alias("f")).select(F.col("f.doc_id").alias("_id"), F.col("f.fp").alias("_fp")), "first")
+    several = found.groupBy("doc_id").agg((F.min("fp") != F.max("fp")).alias("s")).filter("s OR doc_id IS NULL").select("doc_id")
+    doubtful, _ = stored(several.select(F.col("doc_id").alias("_id")), "doubtful")
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    named = docs.select(F.col(id_col).cast("long").alias("_id"), text_of(docs[text_col]).alias("_text"), row)
+    plain = first.join(doubtful, "_id", "left_anti").filter("_id IS NOT NULL").select("_id")
+    single = named.select("_id", "_row").join(plain, "_id", "left_semi").dropDuplicates(["_id"]).select("_row.*")
+    # The fingerprints of rows whose ids don't tell them apart are computed once more.
+    same = lambda a, b: a["_id"].eqNullSafe(b["_id"])
+    unsure = named.join(doubtful, same(named, doubtful), "left_semi").withColumn("_fp", _fingerprint_udf()("_text")).drop("_text")
+    told = unsure.join(first, same(unsure, first) & (unsure["_fp"] == first["_fp"]), "left_semi").dropDuplicates(["_id", "_fp"])
+    return single.union(told.select("_row.*"))
 
 
 def _fingerprint_udf():
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.fromiter((fingerprint(t) for t in texts), np.uint64, len(texts)).view(np.int64))
+    @F.arrow_udf("long")
+    def of(texts: pa.Array) -> pa.Array:
+        found = [fingerprint(t) for _, some in portions(texts) for t in some]
+        return pa.array(np.array(found, np.uint64).view(np.int64))
 
     return of
