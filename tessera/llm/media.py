@@ -3,7 +3,8 @@
 A payload is written losslessly as an unsigned 8-bit mono WAVE file and read back from the stored bytes; everything else
 is computed from what was read. Features: polyphase resampling to a third of the rate, overlapped Hann-windowed frames,
 log-mel filterbank energies, and speech-like segments found by two energy thresholds with hysteresis. Mel frames are
-stored in blocks of a fixed shape (frames x bands), each with the time span it covers.
+stored in blocks of a fixed shape (frames x bands), each with the time span it covers: a column of Arrow streams, whose
+records are a span and a fixed-shape tensor. What is said of features is read from that column.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +24,15 @@ from tessera.llm.common import text_of
 
 RATE, DOWN, TAPS = 24_000, 3, 8
 FRAME, HOP, BANDS = 256, 128, 32
-#: Frames of a stored tensor.
-BLOCK_FRAMES = 64
+#: Frames of a stored tensor, and the seconds between frames.
+BLOCK_FRAMES, STEP = 16, HOP * DOWN / RATE
 #: A segment begins at the upper threshold and lasts while the energy is over the lower one (log units over the mean).
 UPPER, LOWER = 0.25, 0.0
 MULTIPLE, FILL = 192, 32
 #: Frames whose spectra are computed at a time.
 CHUNK = 2048
+#: Bytes of columns that a task sends on at a time.
+BATCH_BYTES = 4 << 20
 
 
 def padded(text: str | None) -> bytes:
@@ -118,91 +120,105 @@ def segments(energy: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
-@dataclass
-class Audio:
-    n_bytes: int
-    payload: bytes
-    media: bytes
-    mel: np.ndarray
-    speech: list[tuple[int, int]]
-
-    def tensors(self) -> tuple[np.ndarray, list[tuple[float, float]]]:
-        """(blocks, BLOCK_FRAMES, BANDS), the last filled with the log of silence, and each block's seconds."""
-        n = -(-len(self.mel) // BLOCK_FRAMES)
-        out = np.full((n * BLOCK_FRAMES, BANDS), -6.0, np.float32)
-        out[: len(self.mel)] = self.mel
-        second = HOP * DOWN / RATE
-        spans = [(k * BLOCK_FRAMES * second, min((k + 1) * BLOCK_FRAMES, len(self.mel)) * second) for k in range(n)]
-        return out.reshape(n, BLOCK_FRAMES, BANDS), spans
-
-    def digest(self) -> str:
-        """Frames, segments, speech frames, mean energy, and the four strongest bands."""
-        bands = self.mel.mean(axis=0, dtype=np.float64)
-        top = np.argsort(-np.round(bands, 3), kind="stable")[:4]
-        return f"frames={len(self.mel)};segments={len(self.speech)};speech={sum(e - b for b, e in self.speech)};mean={bands.mean():.2f};bands={','.join(map(str, top.tolist()))}"
-
-
-def audio(text: str | None) -> Audio:
-    """A text through storage and back, with its features."""
-    payload = padded(text)
-    media = store(payload)
-    read = load(media)
-    signal = resampled((np.frombuffer(read, np.uint8).astype(np.float32) - 128) / 128)
-    mel = log_mel(signal)
-    return Audio(len((text or "").encode()), read, media, mel, segments(mel.mean(axis=1)))
-
-
 TENSOR = pa.fixed_shape_tensor(pa.float32(), (BLOCK_FRAMES, BANDS))
+SPANNED = pa.schema([("start_s", pa.float64()), ("end_s", pa.float64()), ("mel", TENSOR)])
 
 
-def tensor_array(blocks: np.ndarray) -> pa.ExtensionArray:
-    """Blocks as an Arrow column of fixed-shape tensors."""
+def tensors(mel: np.ndarray) -> pa.RecordBatch:
+    """Frames as blocks of BLOCK_FRAMES, the last filled with the log of silence, and the seconds that each covers."""
+    n = -(-len(mel) // BLOCK_FRAMES)
+    blocks = np.full((n * BLOCK_FRAMES, BANDS), -6.0, np.float32)
+    blocks[: len(mel)] = mel
+    first = np.arange(n) * BLOCK_FRAMES
     flat = pa.FixedSizeListArray.from_arrays(pa.array(blocks.ravel()), BLOCK_FRAMES * BANDS)
-    return pa.ExtensionArray.from_storage(TENSOR, flat)
+    spans = pa.array(first * STEP), pa.array(np.minimum(first + BLOCK_FRAMES, len(mel)) * STEP)
+    return pa.RecordBatch.from_arrays([*spans, pa.ExtensionArray.from_storage(TENSOR, flat)], schema=SPANNED)
 
 
-def media_column(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_bytes, media): the stored form of every text; null texts are empty."""
+def packed(batch: pa.RecordBatch) -> bytes:
+    """The batch as an Arrow stream."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The frames of a stream of spanned tensors: as many as the spans cover."""
+    table = pa.ipc.open_stream(data).read_all()
+    if table.schema.field("mel").type != TENSOR:
+        raise ValueError(f"not tensors of {BLOCK_FRAMES} x {BANDS}")
+    frames = round(table["end_s"][-1].as_py() / STEP)
+    return table["mel"].combine_chunks().to_numpy_ndarray().reshape(-1, BANDS)[:frames]
+
+
+def features(media: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The log-mel frames of a WAVE file and its segments, [begin, end) in frames."""
+    mel = log_mel(resampled((np.frombuffer(load(media), np.uint8).astype(np.float32) - 128) / 128))
+    return mel, segments(mel.mean(axis=1))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, text in enumerate(batch.column(1)):
-                data = text.as_py()
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([len(data.encode())]), pa.array([store(padded(data))], pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+COLUMNS = "doc_id long, n_bytes long, media binary, tensors binary, segments array<struct<start_s:double,end_s:double>>"
+_SEGMENTS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
 
 
-def feature_blocks(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, block, start_s, end_s, mel): the fixed-shape tensors of every text, row-major, with their time spans."""
+def media_columns(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_bytes, media, tensors, segments), a row per row of ``docs``: the stored form of every text, its
+    features as an Arrow stream of spanned tensors, and the seconds of its segments.
+
+    Null texts are empty, and an empty text has one frame; ids may be null; a repeated row comes as often as it does in
+    ``docs``; an empty table gives no rows; columns other than id and text aren't looked at.
+    """
+    names, kinds = [f.split()[0] for f in COLUMNS.split(", ")], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), _SEGMENTS]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                blocks, spans = audio(text.as_py()).tensors()
-                n = len(spans)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc_id.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([a for a, _ in spans]), pa.array([b for _, b in spans]), tensor_array(blocks).storage.cast(pa.list_(pa.float32()))],
-                    ["doc_id", "block", "start_s", "end_s", "mel"],
-                )
+            rows, held = [], 0
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = text.as_py()
+                media = store(padded(data))
+                mel, found = features(media)
+                stream = packed(tensors(mel))
+                spans = [{"start_s": a * STEP, "end_s": b * STEP} for a, b in found]
+                rows.append((doc_id, len(data.encode()), media, stream, spans))
+                held += len(media) + len(stream) + 64 * len(spans)
+                if held > BATCH_BYTES:
+                    yield batch_of(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch_of(rows)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, block int, start_s double, end_s double, mel array<float>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, COLUMNS)
+
+
+def said(mel: np.ndarray, spans: list[dict]) -> str:
+    """Frames, segments, speech frames, mean energy, and the four strongest bands."""
+    bands = mel.mean(axis=0, dtype=np.float64)
+    top = np.argsort(-np.round(bands, 3), kind="stable")[:4]
+    speech = sum(round((x["end_s"] - x["start_s"]) / STEP) for x in spans)
+    return f"frames={len(mel)};segments={len(spans)};speech={speech};mean={bands.mean():.2f};bands={','.join(map(str, top.tolist()))}"
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def digests(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A row per text: sizes and digests of the payload as read back and of the stored form, and the features' digest."""
+def digests(columns: DataFrame) -> DataFrame:
+    """A row per row of :func:`media_columns`: sizes and digests of the payload as read back from the media column and of
+    that column, and a description of the features as read back from the tensors and segments."""
+    names, kinds = [f.split()[0] for f in DIGEST.split(", ")], [pa.int64()] * 3 + [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in DIGEST.split(", ")]
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                a = audio(text.as_py())
-                rows.append((doc_id, a.n_bytes, len(a.payload), hashlib.sha256(a.payload).hexdigest(), zlib.crc32(a.payload[-16:]), len(a.media), hashlib.sha256(a.media).hexdigest(), a.digest()))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, DIGEST)
+            for doc_id, n, media, stream, spans in zip(*(batch.column(k) for k in range(5)), strict=True):
+                media = media.as_py()
+                payload = load(media)
+                sums = hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest()
+                rows.append((doc_id.as_py(), n.as_py(), len(payload), *sums, said(unpacked(stream.as_py()), spans.as_py())))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return columns.mapInArrow(run, DIGEST)

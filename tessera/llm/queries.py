@@ -13,45 +13,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: (page_id, url, text, n_chars)."""
     from tessera.llm import html_extract
 
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log importance weight of every document, its Gumbel key, and whether it is drawn."""
     from tessera.llm import importance
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = importance.fit(docs, table(spark, sf_dir, "labels")).marked(docs)
-    return marked.select("row.doc_id", (F.col("weight") / importance.UNIT).alias("log_weight"), ((F.col("weight") + F.col("noise")) / importance.UNIT).alias("gumbel_key"), "kept")
+    judged = importance.fit(docs, table(spark, sf_dir, "labels")).judged()
+    return judged.select("doc_id", (F.col("weight") / importance.UNIT).alias("log_weight"), (F.col("key") / importance.UNIT).alias("gumbel_key"), "kept")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
     from tessera.llm import packing
 
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from labelled ones that aren't held out."""
     from tessera.llm import langid
 
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's token ids and of what they decode to."""
     from tessera.llm import bpe
 
     coded = bpe.code(table(spark, sf_dir, "documents"))
-    return coded.select("doc_id", F.expr("CAST(octet_length(ids) div 4 AS BIGINT)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    n = F.expr("CAST(octet_length(ids) div 4 AS BIGINT)").alias("n_tokens")
+    return coded.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's media column and of the features read back from its tensors."""
     from tessera.llm import media
 
-    return media.digests(table(spark, sf_dir, "documents"))
+    return media.digests(media.media_columns(table(spark, sf_dir, "documents")))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of every document, judged by the production policy."""
     from tessera.llm import rules
 
     entries = rules.judge(rules.ledger(table(spark, sf_dir, "documents")))
@@ -61,7 +69,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rules_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each policy would reject without each of its rules, over the ledger of all documents."""
+    from tessera.llm import rules
+
+    return rules.ablation(rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the smallest id of its component."""
     from tessera.llm import simhash
 
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -69,23 +85,28 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base and the suffix tree's log probability of every document."""
     from tessera.llm import pst
 
     return pst.score(table(spark, sf_dir, "documents"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's capture, as read back from the archives."""
     from tessera.llm import warc
 
     found = warc.archive(table(spark, sf_dir, "pages"))
-    number = lambda name: F.expr(f"try_cast(metadata[0].fields['{name}'] AS BIGINT)")
-    return found.select(number("page-id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), number("refers-to-page").alias("refers_to"))
+    number = lambda name: F.expr(f"try_cast(metadata[0].fields['{name}'] AS BIGINT)").alias
+    return found.select(
+        number("page-id")("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), number("refers-to-page")("refers_to")
+    )
 
 
 OP10_SQL = """
@@ -98,11 +119,11 @@ WITH p AS (
          max(page_id) OVER (PARTITION BY body) AS latest
   FROM p
 )
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN latest = page_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN latest <> page_id THEN latest END AS refers_to FROM d
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN latest IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN latest IS DISTINCT FROM page_id THEN latest END AS refers_to FROM d
 """
 
-OP7_SQL = r"""
+_LEDGER_SQL = r"""
 WITH a AS (
   SELECT doc_id, coalesce(text, '') AS t,
          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -128,9 +149,19 @@ WITH a AS (
          + 8 * (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT
          + 32 * (100 * n_exclaims > 30 * n_words)::INT + 64 * (100 * n_upper > 60 * word_chars)::INT AS BIGINT) AS failures FROM m
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept,
+"""
+OP7_SQL = _LEDGER_SQL + """SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, failures = 0 AS kept,
        failures, n_lines, n_exclaims, n_upper FROM f
 """
+ABLATION_SQL = _LEDGER_SQL + """, c AS (
+  SELECT * FROM (VALUES ('v1', 3, 'few_words', 1), ('v1', 3, 'repeated_windows', 2),
+    ('v2', 15, 'few_words', 1), ('v2', 15, 'repeated_windows', 2), ('v2', 15, 'symbols', 4), ('v2', 15, 'duplicate_lines', 8),
+    ('v3', 127, 'few_words', 1), ('v3', 127, 'repeated_windows', 2), ('v3', 127, 'symbols', 4), ('v3', 127, 'duplicate_lines', 8),
+    ('v3', 127, 'word_length', 16), ('v3', 127, 'exclamations', 32), ('v3', 127, 'capitals', 64)) t(policy, mask, rule, bit)
+)
+SELECT policy, rule, count(*) AS documents, count_if((failures & mask) <> 0) AS rejected, count_if((failures & bit) <> 0) AS failing,
+       count_if((failures & mask) = bit) AS only_by_this FROM f, c GROUP BY policy, rule
+"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -142,11 +173,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_media_columns": op6_media_columns,
     "op7_quality_rules": op7_quality_rules,
+    "rules_ablation": rules_ablation,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_warc": op10_warc,
 }
 ORACLES: dict[str, str] = {
     "op7_quality_rules": OP7_SQL,
+    "rules_ablation": ABLATION_SQL,
     "op10_warc": OP10_SQL,
 }

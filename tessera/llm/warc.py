@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import shared_path, text_of
 
-#: Payload bytes that an archive holds, about.
-ARCHIVE_BYTES = 16 << 20
+#: Payload bytes that an archive holds, about, and that a task writes: more than one archive where the table is large.
+ARCHIVE_BYTES, TASK_BYTES = 16 << 20, 512 << 20
 #: Smaller payloads are never revisits.
 MIN_REVISIT = 0
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -36,23 +36,27 @@ def base32_sha1(data: Column) -> Column:
     return F.concat(*letters)
 
 
-def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """(page_id, url, payload, payload_bytes, payload_digest, refers_to): of equal payloads the largest id is the response.
+def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> tuple[DataFrame, int]:
+    """(page_id, url, payload, payload_bytes, payload_digest, refers_to): of equal payloads the largest id is the response;
+    and the captures that make an archive of about ``archive_bytes``.
 
-    ``refers_to`` is null for responses. Null payloads are empty. Rows of the same id and payload are each a response
-    if that id is the largest. Which id that is, is found on ids and digests alone; payloads move once, by id and digest
-    into partitions of about ``archive_bytes``, however many are equal.
+    ``refers_to`` is null for responses. Null payloads are empty. A row without an id revisits the largest id of its
+    payload, if there is any. Rows of the same id and payload are each a response if that id is the largest. Which id
+    that is, is found on ids and digests alone; payloads move once, by id and digest, into as many tasks as the session
+    shuffles to, or more where each would write over TASK_BYTES. Other columns aren't looked at.
     """
-    payload = text_of(html_col)
+    spark, payload = pages.sparkSession, text_of(html_col)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), text_of(url_col).alias("url"), payload.alias("payload"))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary")))
-    key, what = ["page_id", "payload_digest", "payload_bytes"], ["payload_digest", "payload_bytes"]
-    marks = rows.select(*key).filter(F.col("payload_bytes") >= min_revisit).distinct()
+    rows = rows.withColumn("_none", F.col("page_id").isNull()).withColumn("_id", F.coalesce("page_id", F.lit(0)))
+    key, what = ["_id", "_none", "payload_digest", "payload_bytes"], ["payload_digest", "payload_bytes"]
+    marks = rows.select("page_id", *key).filter(F.col("payload_bytes") >= min_revisit).distinct()
     latest = marks.groupBy(*what).agg(F.max("page_id").alias("refers_to"))
-    revisits = marks.join(latest, what).filter("refers_to <> page_id").select(*key, "refers_to")
-    total = pages.select(F.sum(F.octet_length(payload))).first()[0] or 0
-    archives = max(1, -(-total // archive_bytes))
-    return rows.repartition(archives, *key).join(revisits.repartition(archives, *key), key, "left")
+    revisits = marks.join(latest, what).filter(~F.col("refers_to").eqNullSafe(F.col("page_id"))).select(*key, "refers_to")
+    total, n = pages.select(F.coalesce(F.sum(F.octet_length(payload)), F.lit(0)), F.count(F.lit(1))).first()
+    tasks = max(1, min(-(-total // archive_bytes), int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-total // TASK_BYTES))
+    found = rows.repartition(tasks, *key).join(revisits.repartition(tasks, *key), key, "left").drop("_id", "_none")
+    return found, max(1, n * archive_bytes // max(total, archive_bytes))
 
 
 def _clean(value: Column) -> Column:
@@ -69,10 +73,14 @@ def _record(kind: str, record_id: Column, url: Column, content_type: str, block:
 
 
 def record_texts(found: DataFrame) -> DataFrame:
-    """(value): the three records of every capture, each but for its last line end. Ids are uuids of page id and role."""
+    """(value): the three records of every capture, each but for its last line end.
 
-    def urn(role: str, of: Column) -> Column:
-        h = F.md5(F.concat(F.lit(role + ":"), F.coalesce(of.cast("string"), F.lit(""))))
+    Ids are uuids of the role, the page id and the payload's digest, and for requests and metadata the url: rows that
+    are equal in all these have the same records, written as often as they come.
+    """
+
+    def urn(role: str, of: Column, *more: Column) -> Column:
+        h = F.md5(F.concat_ws("\0", F.lit(role), F.coalesce(of.cast("string"), F.lit("")), F.col("payload_digest"), *more))
         return F.concat(F.lit("urn:uuid:"), F.substring(h, 1, 8), *[x for at, n in ((9, 4), (13, 4), (17, 4), (21, 12)) for x in (F.lit("-"), F.substring(h, at, n))])
 
     page, url = F.col("page_id"), F.col("url")
@@ -80,17 +88,21 @@ def record_texts(found: DataFrame) -> DataFrame:
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest"), F.lit("\r\n"))
     capture = urn("capture", page)
     concurrent = F.concat(F.lit("WARC-Concurrent-To: <"), capture, F.lit(">\r\n"))
-    revisit = _record("revisit", capture, url, "application/http; msgtype=response", http, digest, F.lit(f"WARC-Profile: {REVISIT_PROFILE}\r\nWARC-Refers-To: <"), urn("capture", F.col("refers_to")), F.lit(">\r\n"))
-    response = _record("response", capture, url, "application/http; msgtype=response", F.concat(http, F.col("payload")), digest)
-    request = _record("request", urn("request", page), url, "application/http; msgtype=request", F.concat(F.lit("GET "), _clean(url), F.lit(" HTTP/1.1\r\n\r\n")), concurrent)
-    notes = F.concat(F.lit("page-id: "), F.coalesce(page.cast("string"), F.lit("")), F.lit("\r\nrefers-to-page: "), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit("\r\n"))
-    metadata = _record("metadata", urn("metadata", page), url, "application/warc-fields", notes, concurrent)
+    kind = "application/http; msgtype=response"
+    original = F.lit(f"WARC-Profile: {REVISIT_PROFILE}\r\nWARC-Refers-To: <"), urn("capture", F.col("refers_to")), F.lit(">\r\n")
+    revisit = _record("revisit", capture, url, kind, http, digest, *original)
+    response = _record("response", capture, url, kind, F.concat(http, F.col("payload")), digest)
+    line = F.concat(F.lit("GET "), _clean(url), F.lit(" HTTP/1.1\r\n\r\n"))
+    request = _record("request", urn("request", page, url), url, "application/http; msgtype=request", line, concurrent)
+    number = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    notes = F.concat(F.lit("page-id: "), number(page), F.lit("\r\nrefers-to-page: "), number(F.col("refers_to")), F.lit("\r\n"))
+    metadata = _record("metadata", urn("metadata", page, url), url, "application/warc-fields", notes, concurrent)
     return found.select(F.concat_ws("\r\n", request, F.when(F.col("refers_to").isNull(), response).otherwise(revisit), metadata).alias("value"))
 
 
-def write(found: DataFrame, path: str) -> None:
-    """Write the captures as gzip archives, one for each partition."""
-    record_texts(found).write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+def write(found: DataFrame, path: str, per_archive: int) -> None:
+    """Write the captures as gzip archives of so many captures; a task goes on to the next when one is full."""
+    record_texts(found).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_archive).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -157,21 +169,26 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
 def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: its response or revisit record, and the requests and metadata concurrent to it.
 
-    A capture without request or metadata has an empty array there; of a capture written twice each record is a row.
+    A capture without request or metadata has an empty array there. Of a capture written twice each record is a row;
+    equal requests and metadata are one element, so a capture that a third of all rows repeat has one of each.
     """
     head = records.filter(F.col("type").isin("response", "revisit"))
-    part = F.struct("record_id", "url", "fields")
+    fields = F.array_sort(F.map_entries("fields")).alias("fields")  # maps can't be compared
+    part = F.struct("record_id", "url", fields)
     beside = (
         records.filter(F.col("type").isin("request", "metadata"))
         .groupBy("concurrent_to")
-        .agg(F.collect_set(F.when(F.col("type") == "request", F.struct("record_id", "url"))).alias("requests"), F.collect_list(F.when(F.col("type") == "metadata", part)).alias("metadata"))
+        .agg(F.collect_set(F.when(F.col("type") == "request", F.struct("record_id", "url"))).alias("requests"), F.collect_set(F.when(F.col("type") == "metadata", part)).alias("metadata"))
         .withColumnRenamed("concurrent_to", "record_id")
     )
-    return head.join(beside, "record_id", "left").select("record_id", "type", "url", "digest", "payload_bytes", "payload", "refers_to", "requests", "metadata")
+    named = F.transform("metadata", lambda m: F.struct(m["record_id"].alias("record_id"), m["url"].alias("url"), F.map_from_entries(m["fields"]).alias("fields")))
+    out = head.join(beside, "record_id", "left").withColumn("metadata", named)
+    return out.select("record_id", "type", "url", "digest", "payload_bytes", "payload", "refers_to", "requests", "metadata")
 
 
 def archive(pages: DataFrame, with_payload: bool = False) -> DataFrame:
     """Write the captures of ``pages`` to the shared folder, read the archives back, and assemble them."""
     path = shared_path(pages.sparkSession, "warc")
-    write(captures(pages), path)
+    found, per_archive = captures(pages)
+    write(found, path, per_archive)
     return assemble(read_records(pages.sparkSession, path, with_payload))
