@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import text_of
-from tessera.llm.wordcodec import MEMO, Words, byte_letters, chunks, portions, tokenizer_path
+from tessera.llm.common import Memo, portions, text_of
+from tessera.llm.wordcodec import Words, byte_letters, chunks, tokenizer_path
 
 _NONE = 1 << 62
 
@@ -71,7 +71,7 @@ class Codec:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[vocab[a], vocab[b]] = rank
             self.made.append(vocab[a + b])
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo = Memo()
 
     def word(self, word: str) -> tuple[int, ...]:
         """The ids of one word."""
@@ -105,13 +105,12 @@ class Codec:
 
     def chunk(self, chunk: str) -> list[int]:
         """The ids of a text without white space and special tokens."""
-        if len(self.memo) > MEMO:
-            self.memo = {}
         out: list[int] = []
         for word in self.words.of(chunk):
             ids = self.memo.get(word)
             if ids is None:
-                ids = self.memo[word] = self.word(word)
+                ids = self.word(word)
+                self.memo.keep(word, ids, len(word) + 8 * len(ids))
             out += ids
         return out
 
@@ -129,7 +128,7 @@ class Batches:
 
     def __init__(self, path: str) -> None:
         self.codec = Codec(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo()
 
     def ids(self, text: str) -> bytes:
         if self.codec.cut and self.codec.cut.search(text):
@@ -138,24 +137,24 @@ class Batches:
         for c in chunks(text):
             data = memo.get(c)
             if data is None:
-                data = memo[c] = np.array(self.codec.chunk(c), "<u4").tobytes()
+                data = np.array(self.codec.chunk(c), "<u4").tobytes()
+                memo.keep(c, data, len(c) + len(data))
             out.append(data)
-        if len(memo) > MEMO:
-            self.memo = {}
         return b"".join(out)
 
 
 def code(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded): ids as little-endian unsigned 32-bit integers in binary, and what they decode to.
 
-    Null texts count as empty; an empty text has no ids and decodes to the empty text.
+    Null texts count as empty; an empty text has no ids and decodes to the empty text. Ids may be null; a repeated row
+    is coded as often as it comes; an empty table gives no rows; columns other than id and text aren't looked at.
     """
     path = path or tokenizer_path()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Batches(path)
         for batch in batches:
-            for first, texts in portions(batch.column(1).to_pylist()):
+            for first, texts in portions(batch.column(1)):
                 ids = [coder.ids(t) for t in texts]
                 decoded = [coder.codec.decode(np.frombuffer(x, "<u4").tolist()) for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], ["doc_id", "ids", "decoded"])

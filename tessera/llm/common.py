@@ -16,7 +16,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 #: Bytes that a memo of a Python worker holds, and the longest key that it keeps.
-MEMO_BYTES, LONGEST = 16 << 20, 64
+MEMO_BYTES, LONGEST = 48 << 20, 64
 #: What an entry of a memo takes besides its key and value, about: two objects and a place in the dict.
 ENTRY_BYTES = 200
 #: Characters of texts that are Python objects at a time.

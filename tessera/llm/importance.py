@@ -16,12 +16,11 @@ from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, text_of
+from tessera.llm.common import ENTRY_BYTES, LONGEST, MEMO_BYTES, forget, portions, stored, text_of
 
 #: Buckets of the hashed n-grams, the size of both models.
 BUCKETS = 1 << 14
@@ -31,56 +30,49 @@ SMOOTHING = 1.0
 SAMPLE = 20_000
 #: Weights and noise are whole millionths of a nat: sums are exact, in any order.
 UNIT = 1_000_000
-#: Words that a worker remembers before it starts over, and characters that it hashes at a time.
-MEMO, PORTION = 400_000, 2_000_000
 _CORE = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 _REPEAT = zlib.crc32(b"\0same as before") % BUCKETS
 _EMPTY = zlib.crc32(b"\0no words") % BUCKETS
 
 
 class Grams:
-    """Hashes the n-grams of texts; each different word is looked at once."""
+    """Hashes the n-grams of texts; a word that was seen lately isn't looked at again."""
 
     def __init__(self) -> None:
-        self.memo: dict[bytes, int] = {}
+        self.memo: dict[bytes, int] = {}  # places in the arrays
+        self.n = self.held = 0
         self.core = np.zeros(1024, np.uint64)
         self.mark = np.zeros(1024, np.int64)
 
     def _learn(self, word: bytes) -> int:
-        at = len(self.memo)
+        """The place of the hash of the word's letters and the bucket of its punctuation and case."""
+        at = self.n
         if at == len(self.core):
             self.core, self.mark = np.resize(self.core, 2 * at), np.resize(self.mark, 2 * at)
         core = b"".join(_CORE.findall(word))
         case = b"A" if len(core) > 1 and core.isupper() else b"a"
         self.core[at] = zlib.crc32(core.lower())
         self.mark[at] = zlib.crc32(b"\0" + _CORE.sub(b"", word) + case) % BUCKETS
-        self.memo[word] = at
+        self.n += 1
+        self.held += 16
+        if len(word) <= LONGEST:
+            self.memo[word] = at
+            self.held += len(word) + ENTRY_BYTES
         return at
 
-    def of(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For portions of the texts in turn: the buckets of their n-grams and the place of the text of each."""
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (size == 0 or size < PORTION):
-                size += len(texts[end] or "") + 1
-                end += 1
-            yield self._portion(texts[at:end], at)
-            at = end
-
-    def _portion(self, texts: list[str | None], first: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.memo) > MEMO:
+    def of(self, texts: list[str | None], first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of the texts' n-grams and the place of the text of each, from ``first``."""
+        if self.held > MEMO_BYTES:
             self.__init__()
         words = [(t or "").encode().split() for t in texts]
-        sizes = np.array([len(w) for w in words])
-        known = self.memo.get
-        flat = list(chain.from_iterable(words))
+        sizes = np.array([len(w) for w in words], np.int64)
+        known, flat = self.memo.get, list(chain.from_iterable(words))
         ids = np.fromiter((known(w, -1) for w in flat), np.int64, len(flat))
         for k in np.flatnonzero(ids < 0).tolist():
             found = known(flat[k], -1)
             ids[k] = self._learn(flat[k]) if found < 0 else found
-        owner = np.repeat(np.arange(len(texts)), sizes) + first
         core, mark = self.core[ids], self.mark[ids]
+        owner = np.repeat(np.arange(len(texts)), sizes) + first
         pair = ((core[:-1] * np.uint64(0x9E3779B97F4A7C15) + core[1:]) >> np.uint64(20)) % np.uint64(BUCKETS)
         pair = np.where(core[:-1] == core[1:], _REPEAT, pair.astype(np.int64))
         inside = owner[:-1] == owner[1:]
@@ -107,7 +99,8 @@ def count_models(docs: DataFrame, sample: DataFrame, text_col: str = "text", id_
         grams, target, raw = Grams(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             good = np.array(batch.column(0).to_pylist(), bool)
-            for buckets, owner in grams.of(batch.column(1).to_pylist()):
+            for first, texts in portions(batch.column(1)):
+                buckets, owner = grams.of(texts, first)
                 raw += np.bincount(buckets, minlength=BUCKETS)
                 target += np.bincount(buckets[good[owner]], minlength=BUCKETS)
         if raw.any():
@@ -131,14 +124,15 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
 def log_weight(ratios: np.ndarray):
     """A function of a text column: its log importance weight in millionths of a nat."""
 
-    @F.pandas_udf("long")
-    def weight(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def weight(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         grams = Grams()
         for texts in batches:
             out = np.zeros(len(texts), np.int64)
-            for buckets, owner in grams.of(texts.tolist()):
+            for first, some in portions(texts):
+                buckets, owner = grams.of(some, first)
                 np.add.at(out, owner, ratios[buckets])
-            yield pd.Series(out)
+            yield pa.array(out)
 
     return weight
 
@@ -180,37 +174,55 @@ def kth_highest(values: DataFrame, k: int) -> int | None:
 
 
 class Resampler:
-    """Fitted models, and the key from which documents stay (None: all stay, as there is nothing to tell them by)."""
+    """Fitted models, and the key from which documents stay (None: all stay, as there is nothing to tell them by).
+
+    ``weights`` are the stored (doc_id, weight, key) of the documents that it was fitted on, at ``path``.
+    """
+
+    def __init__(self, ratios: np.ndarray, seed: int, key: int | None, weights: DataFrame | None = None, path: str | None = None) -> None:
+        self.ratios, self.seed, self.key, self.weights, self.path = ratios, seed, key, weights, path
+
+    def judged(self) -> DataFrame:
+        """(doc_id, weight, key, kept), a row per document of the fit."""
+        return self.weights.withColumn("kept", self._kept(F.col("key")))
 
-    def __init__(self, ratios: np.ndarray, seed: int, key: int | None) -> None:
-        self.ratios, self.seed, self.key = ratios, seed, key
+    def _kept(self, key: Column) -> Column:
+        return F.lit(True) if self.key is None else key >= self.key
 
     def marked(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
         """``docs`` as a struct ``row``, with ``weight`` and ``noise`` (millionths) and ``kept``."""
         row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-        out = docs.select(row, log_weight(self.ratios)(text_of(docs[text_col])).alias("weight"), gumbel(docs[id_col].cast("long"), self.seed).alias("noise"))
-        return out.withColumn("kept", F.lit(True) if self.key is None else F.col("weight") + F.col("noise") >= self.key)
+        noise = gumbel(docs[id_col].cast("long"), self.seed).alias("noise")
+        out = docs.select(row, log_weight(self.ratios)(text_of(docs[text_col])).alias("weight"), noise)
+        return out.withColumn("kept", self._kept(F.col("weight") + F.col("noise")))
 
 
 def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", seed: int = 0) -> Resampler:
     """Count the models, find the cut on labelled documents, and draw: the k highest of weight plus noise stay.
 
     Rows with equal keys at the k-th place all stay. Without labels of both classes everything stays. Null texts count
-    as empty; ids may be null or repeated (they share their noise).
+    as empty; ids may be null or repeated (they share their noise); an empty table gives models of no use and no rows;
+    columns other than id and text aren't looked at.
     """
-    sample, _ = stored(_labelled(labels, id_col, label_col), "labelled")
+    spark = docs.sparkSession
+    sample, labelled = stored(_labelled(labels, id_col, label_col), "labelled")
     ratios = log_ratios(*count_models(docs, sample, text_col, id_col))
     everything = Resampler(ratios, seed, None).marked(docs, text_col, id_col)
-    weights, _ = stored(everything.select(F.col("row").getField(id_col).cast("long").alias("doc_id"), "weight", (F.col("weight") + F.col("noise")).alias("key")), "weights")
-    told = weights.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "good").agg(F.min("weight").alias("weight")).select("good", "weight").toPandas()  # twice SAMPLE at most
+    doc_id = F.col("row").getField(id_col).cast("long").alias("doc_id")
+    weights, path = stored(everything.select(doc_id, "weight", (F.col("weight") + F.col("noise")).alias("key")), "weights")
+    told = weights.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "good").agg(F.min("weight").alias("weight"))
+    told = told.select("good", "weight").toPandas()  # twice SAMPLE at most
+    forget(spark, labelled)
     cut = best_cut(told.weight[told.good].to_numpy(), told.weight[~told.good].to_numpy()) if len(told) else None
     if cut is None:
-        return Resampler(ratios, seed, None)
+        return Resampler(ratios, seed, None, weights, path)
     k = weights.filter(F.col("weight") >= cut).count()
     at = kth_highest(weights, k)
-    return Resampler(ratios, seed, at if at is not None else (1 << 62))
+    return Resampler(ratios, seed, at if at is not None else (1 << 62), weights, path)
 
 
 def resample(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", seed: int = 0) -> DataFrame:
-    """The rows of ``docs`` that are drawn, with their own columns only."""
-    return fit(docs, labels, text_col, id_col, label_col, seed).marked(docs, text_col, id_col).filter("kept").select("row.*")
+    """The rows of ``docs`` that are drawn, with their own columns only; rows as in :func:`fit`."""
+    fitted = fit(docs, labels, text_col, id_col, label_col, seed)
+    forget(docs.sparkSession, fitted.path)
+    return fitted.marked(docs, text_col, id_col).filter("kept").select("row.*")

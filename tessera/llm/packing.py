@@ -1,11 +1,15 @@
 """Best-fit packing (3): a configuration linear program over the length histogram.
 
 Documents become pieces of at most ``capacity`` tokens. A configuration is a multiset of lengths that fits a sequence;
-the program asks for the fewest configurations that cover the histogram. It is solved by multiplicative weights: prices
-of lengths fall as they get covered, and a knapsack dynamic program finds the configuration worth most at the present
-prices. The solution is rounded down to whole configurations, and what is left is placed best-fit decreasing, again on
-the histogram. Only the histogram (``capacity`` numbers) reaches the driver, and only the plan, whose size doesn't
-depend on the rows, goes back: a piece finds its place by its rank among the pieces of its length.
+the program asks for the fewest configurations that cover the histogram, and its dual for a price of each length such
+that no configuration costs over one. It is solved by multiplicative weights: a length's price falls by a constant
+factor as its share of the histogram gets covered, and a knapsack dynamic program over the prices finds the
+configuration worth most. Each is used as often as the pieces that are left allow, rounded down to whole sequences, so
+the sum of all steps is a whole solution; what is left when the program's part of the volume is placed (TAIL) goes
+best-fit decreasing, again on the histogram. The prices of any step bound the optimum from below.
+
+Only the histogram (``capacity`` numbers) reaches the driver, and only the plan, whose size doesn't depend on the rows,
+goes back: a piece finds its place by its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -18,11 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored, text_of
-from tessera.llm.wordcodec import MEMO, Words, byte_letters, chunks, portions, tokenizer_path
+from tessera.llm.common import Memo, portions, stored, text_of
+from tessera.llm.wordcodec import Words, byte_letters, chunks, tokenizer_path
 
 CAPACITY, END = 2048, 0
-ROUNDS = 120
+#: The share of the volume that rounding leaves to best fit, and the rate at which prices fall.
+TAIL, RATE = 0.08, 0.1
+#: Long pieces, which are harder to place later, cost a little more than their share of a sequence.
+CONVEXITY = 1.05
 #: Pieces of one length that are ranked in one task.
 RANKED = 200_000
 
@@ -30,7 +37,7 @@ RANKED = 200_000
 class Encoder:
     """Ids of the tokenizers library, as little-endian unsigned 32-bit integers in bytes.
 
-    Its model encodes each different word once; chunks and words met before are looked up.
+    Its model encodes a word once; chunks and words that were seen lately are looked up.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,8 +50,7 @@ class Encoder:
         self.words = Words(path)
         del self.words.spec
         self.letters = {b: ord(c) for b, c in enumerate(byte_letters())}
-        self.chunks: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.chunks, self.known = Memo(), Memo()
 
     def _chunk(self, chunk: str) -> bytes:
         out = []
@@ -52,28 +58,27 @@ class Encoder:
             data = self.known.get(word)
             if data is None:
                 tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-                data = self.known[word] = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+                data = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+                self.known.keep(word, data, len(word) + len(data))
             out.append(data)
         return b"".join(out)
 
     def ids(self, text: str) -> bytes:
         if self.words.cut and self.words.cut.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.chunks) > MEMO:
-            self.chunks = {}
-        if len(self.known) > MEMO:
-            self.known = {}
         memo, out = self.chunks, []
         for c in chunks(text):
             data = memo.get(c)
             if data is None:
-                data = memo[c] = self._chunk(c)
+                data = self._chunk(c)
+                memo.keep(c, data, len(c) + len(data))
             out.append(data)
         return b"".join(out)
 
 
 def pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and one END, cut at ``capacity``; null texts are empty."""
+    names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32"], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
     path = path or tokenizer_path()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,84 +86,91 @@ def pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capa
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for first, texts in portions(batch.column(1).to_pylist()):
+            for first, texts in portions(batch.column(1)):
                 rows = []
                 for k, data in enumerate(map(encoder.ids, texts), first):
                     data += end
                     for p, at in enumerate(range(0, len(data), 4 * capacity)):
                         cut = data[at : at + 4 * capacity]
                         rows.append((ids[k], p, at // 4, len(cut) // 4, zlib.crc32(cut)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return picked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> np.ndarray:
-    """How often to take each length (ascending) so that the prices sum highest within ``capacity``."""
-    value, took = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every room up to ``capacity``: the most that lengths which fit it are worth, and the length to take first
+    (zero: none, look at one less room). ``prices`` is indexed by length; negative ones aren't for sale."""
+    value, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    back, worth = np.zeros(capacity + 1), np.empty(capacity + 1)  # back[capacity - c] is value[c]
     for c in range(1, capacity + 1):
-        value[c] = value[c - 1]
-        if n := upto[c]:
-            worth = value[c - lengths[:n]] + prices[:n]
-            k = int(worth.argmax())
-            if worth[k] > value[c]:
-                value[c], took[c] = worth[k], k
-    counts, c = np.zeros(len(lengths), np.int64), capacity
-    while c > 0:
-        if took[c] < 0:
-            c -= 1
+        now = np.add(back[capacity - c + 1 :], prices[1 : c + 1], out=worth[:c])
+        k = int(now.argmax())
+        if now[k] > value[c - 1]:
+            value[c], took[c] = now[k], k + 1
         else:
-            counts[took[c]] += 1
-            c -= int(lengths[took[c]])
-    return counts
-
-
-def fractional(lengths: np.ndarray, need: np.ndarray, capacity: int, rounds: int = ROUNDS) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often to use each, fractionally, so that together they cover ``need`` about once."""
-    bound = float((lengths * need).sum()) / capacity
-    covered, out = np.zeros(len(lengths)), []
-    step = max(bound / rounds, 1.0)
-    while step and bound > 0 and (short := need - covered).max() > 0 and len(out) < 2 * rounds:
-        # A length's price: its share of a sequence, by the weight exp(-eta * covered part), more the less is covered.
-        prices = lengths / capacity * np.exp(-3.0 * np.minimum(covered / need, 2.0)) * (short > 0)
-        counts = best_configuration(lengths, prices, capacity)
-        if not counts.any():
+            value[c] = value[c - 1]
+        back[capacity - c] = value[c]
+    return value, took
+
+
+def configuration(prices: np.ndarray, left: np.ndarray, capacity: int) -> dict[int, int]:
+    """{length: times} worth most, of what is ``left``; a length that runs out is made up for by others."""
+    out: dict[int, int] = {}
+    prices, room = np.where(left > 0, prices, -1.0), capacity
+    while room > 0:
+        c, took, found = room, knapsack(prices[: room + 1], room)[1], {}
+        while c > 0:
+            x = int(took[c])
+            found[x] = found.get(x, 0) + 1
+            c -= x or 1
+        found.pop(0, None)
+        for x, k in found.items():
+            some = min(k, int(left[x]) - out.get(x, 0))
+            out[x] = out.get(x, 0) + some
+            room -= some * x
+            if out[x] == left[x]:
+                prices[x] = -1.0
+        if all(out[x] < left[x] for x in found):
             break
-        hit = counts > 0
-        use = min(step, float((np.maximum(short[hit], 0) / counts[hit]).min()))
-        if use < 1e-9:
-            use = float((need[hit] / counts[hit]).min()) / rounds
-        out.append((counts, use))
-        covered += use * counts
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+def program(need: np.ndarray, capacity: int, tail: float = TAIL, rate: float = RATE) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """For ``need`` by length: configurations with the whole number of times each is used, and a lower bound on the
+    sequences of any packing, the best that the prices gave (the volume's, that of prices by length, included)."""
+    x = np.arange(capacity + 1)
+    volume = float((x * need).sum()) / capacity
+    start, left, out, bound = (x / capacity) ** CONVEXITY, need.copy(), [], volume
+    while (x * left).sum() > tail * volume * capacity:
+        prices = np.where(need > 0, start * np.exp(-rate * (need - left) / np.maximum(need, 1)), -1.0)
+        if not out:  # no configuration is worth more than the knapsack's value: prices over it are a solution of the dual
+            worth = knapsack(prices, capacity)[0][capacity]
+            bound = max(bound, float((np.maximum(prices, 0) * need).sum() / worth))
+        found = configuration(prices, left, capacity)
+        times = min(int(left[c]) // k for c, k in found.items())
+        for c, k in found.items():
+            left[c] -= k * times
+        out.append((found, times))
+    return out, bound
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, tail: float = TAIL) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     """[(configuration as ((length, times), ...), number of sequences)] that hold exactly the histogram's pieces."""
-    lengths = np.array(sorted(x for x, n in histogram.items() if n > 0), np.int64)
-    left = np.array([histogram[x] for x in lengths.tolist()], np.int64)
+    need = np.zeros(capacity + 1, np.int64)
+    for x, n in histogram.items():
+        need[x] = n
     out: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    whole = lengths == capacity
-    if whole.any():
-        out.append((((capacity, 1),), int(left[whole][0])))
-        left[whole] = 0
-    merged: dict[tuple[int, ...], float] = {}
-    if left.any():
-        some = left > 0
-        for counts, use in fractional(lengths[some], left[some].astype(float), capacity, rounds):
-            full = np.zeros(len(lengths), np.int64)
-            full[some] = counts
-            merged[tuple(full.tolist())] = merged.get(tuple(full.tolist()), 0.0) + use
-    for key, use in sorted(merged.items(), key=lambda x: -x[1]):
-        counts = np.array(key)
-        times = min(int(use), int((left[counts > 0] // counts[counts > 0]).min()))
-        # Only configurations that are as good as full are worth keeping whole.
-        if times > 0 and (counts * lengths).sum() >= capacity - 2:
-            left -= times * counts
-            out.append((tuple((int(lengths[k]), int(counts[k])) for k in np.flatnonzero(counts)[::-1]), times))
-    return out + _best_fit(lengths, left, capacity)
+    if need[capacity]:
+        out.append((((capacity, 1),), int(need[capacity])))
+        need[capacity] = 0
+    for found, times in program(need, capacity, tail)[0]:
+        for x, k in found.items():
+            need[x] -= k * times
+        out.append((tuple(sorted(found.items(), reverse=True)), times))
+    lengths = np.flatnonzero(need)
+    return out + _best_fit(lengths, need[lengths], capacity)
 
 
 def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -209,7 +221,8 @@ def places(groups: list[tuple[tuple[tuple[int, int], ...], int]]) -> dict[str, n
 def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Pieces of ``docs`` with ``sequence_id`` and ``offset``; every sequence is filled from 0 without gaps.
 
-    Repeated rows are packed as often as they come; ids may be null; an empty table gives no pieces.
+    Repeated rows are packed as often as they come; ids may be null; an empty table gives no pieces; columns other than
+    id and text aren't looked at.
     """
     cut, _ = stored(pieces(docs, text_col, id_col, capacity, path), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # a row for each length
@@ -219,16 +232,16 @@ def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capaci
     counts = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = salted.withColumn("rank", rank).join(before, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before")).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    ranked = salted.withColumn("rank", rank).join(before, ["length", "salt"]).select(*names, (F.col("rank") + F.col("before")).alias("rank"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = at["length"] << 40 | at["first"]
         for batch in batches:
             x, rank = (np.asarray(batch.column(k)) for k in (3, 5))
             k = np.searchsorted(keys, x << 40 | rank, "right") - 1
-            inside = rank - at["first"][k]
-            times = at["times"][k]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(5)), pa.array(at["base"][k] + inside // times), pa.array(at["offset"][k] + inside % times * x)], [*names, "sequence_id", "offset"])
+            inside, times = rank - at["first"][k], at["times"][k]
+            place = [pa.array(at["base"][k] + inside // times), pa.array(at["offset"][k] + inside % times * x)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(5)), *place], [*names, "sequence_id", "offset"])
 
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -1,7 +1,7 @@
 """Shared by packing and BPE: texts as white-space-parted chunks, each encoded once and then looked up.
 
 For vocabularies whose normaliser is NFC, white space to one space, lower case, and whose words never hold white
-space, a chunk's ids don't depend on its neighbours. Memos are bounded and start over when full.
+space, a chunk's ids don't depend on its neighbours.
 """
 
 from __future__ import annotations
@@ -9,12 +9,9 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import regex
 
-#: Chunks that a memo holds before it starts over.
-MEMO = 400_000
 #: str.split() also splits at these four, which aren't white space in Unicode.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[" + "".join(map(chr, (*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288))) + "]+")
@@ -33,18 +30,6 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def portions(texts: list[str], size: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Runs of the texts of about ``size`` characters, with the place of the first."""
-    at = 0
-    while at < len(texts):
-        end, n = at, 0
-        while end < len(texts) and (n == 0 or n < size):
-            n += len(texts[end]) + 1
-            end += 1
-        yield at, texts[at:end]
-        at = end
-
-
 def byte_letters() -> list[str]:
     """The printable character that stands for each byte: itself if printable in Latin-1, else the next from 256 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
