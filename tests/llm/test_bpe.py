@@ -46,3 +46,29 @@ def test_random_words(both):
 @given(st.text(alphabet=st.characters(codec="utf-8", exclude_categories=["Cs", "Cn", "Co"]), max_size=40))
 def test_any_text(both, text):
     check(both, text)
+
+
+def test_rows(spark):
+    """Nulls, empty and repeated rows, a null id, a long text, an empty table and columns of clashing names."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    rows = [(1, "some text", "i"), (1, "some text", "i"), (2, None, None), (3, "", "x"), (None, "no id", "y"), (4, "word " * 50_000, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    found = sorted(((r.doc_id or 0), bytes(r.ids), r.decoded) for r in bpe.code(docs).collect())
+    want = []
+    for doc_id, text, _ in rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        want.append((doc_id or 0, b"".join(i.to_bytes(4, "little") for i in ids), library.decode(ids, skip_special_tokens=False)))
+    assert found == sorted(want) and bpe.code(docs.limit(0)).count() == 0
+
+
+def test_memo_is_bounded_in_bytes():
+    from tessera.llm.common import ENTRY_BYTES, Memo
+
+    memo = Memo(10 * (ENTRY_BYTES + 10))
+    for k in range(100):
+        memo.keep(str(k), b"", 10)
+        assert len(memo) <= 10 and str(k) in memo
+    memo.keep("x" * 65, b"", 70)
+    assert "x" * 65 not in memo

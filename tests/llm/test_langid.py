@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import langid
 
@@ -16,13 +17,34 @@ def parse(text, train):
     return n
 
 
-def test_phrases_as_brute_force():
+def test_phrases_as_brute_force_of_whole_texts(monkeypatch):
+    """Texts of many lanes, alphabets with rare letters, and lanes in several rounds: the phrases of one parse."""
     rng = random.Random(4)
-    samples = {name: "".join(rng.choice(letters) for _ in range(300)) for name, letters in (("a", "abcd "), ("b", "bcde "))}
-    parser = langid.Parser(samples)
-    texts = ["".join(rng.choice("abcdex ") for _ in range(rng.randint(1, 3000))) for _ in range(40)] + ["x", "xx", "ab"]
-    want = [[sum(parse(t[at : at + langid.BLOCK], samples[n]) for at in range(0, len(t), langid.BLOCK)) for n in parser.names] for t in texts]
-    assert parser.phrases(texts).tolist() == want
+    samples = {name: "".join(rng.choice(letters) for _ in range(300)) for name, letters in (("a", "abcd "), ("b", "bcdefgh "))}
+    texts = ["".join(rng.choice("abcdexf ") for _ in range(rng.randint(1, 900))) for _ in range(60)] + ["x", "xx", "ab", "", samples["a"], samples["b"] * 2]
+    want = [[parse(t, samples[n]) for n in sorted(samples)] for t in texts]
+    assert langid.Parser(samples).phrases(texts).tolist() == want
+    for dense, lane, beside in ((3, 16, 8), (2, 7, 64), (48, 1, 3)):
+        monkeypatch.setattr(langid, "DENSE", dense)
+        monkeypatch.setattr(langid, "LANE", lane)
+        monkeypatch.setattr(langid, "BESIDE", beside)
+        assert langid.Parser(samples).phrases(texts).tolist() == want
+
+
+def test_many_letters_take_little_memory():
+    rng = random.Random(6)
+    sample = "".join(chr(0x4E00 + min(rng.randint(0, 3000), rng.randint(0, 3000))) for _ in range(5000))
+    parser = langid.Parser({"zh": sample})
+    assert parser.automata[0].table.nbytes < 4 << 20
+    texts = [sample[100:180] + "x" + sample[:40], "".join(rng.choice(sample) for _ in range(200))]
+    assert parser.phrases(texts).tolist() == [[parse(t, sample)] for t in texts]
+
+
+def test_training_takes_whole_documents(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_CHARS", 50)
+    docs = spark.createDataFrame([(k, f"word{chr(97 + k)} " * 4, "en") for k in range(9)], "doc_id long, text string, lang string")
+    (sample,) = langid.samples(docs).values()
+    assert len(sample) == 50 and len(set(sample.split())) == 3
 
 
 def test_best_takes_first_of_ties():
@@ -35,6 +57,7 @@ def test_odd_rows(spark):
         [(1, "the cat and the dog", "en"), (2, "der hund und die katze", "de"), (3, None, "en"), (4, "", None), (5, "123 !!", "de"), (None, "the dog", None), (1, "the cat and the dog", "en"), (6, "the the and dog " * 5000, None)],
         "doc_id long, text string, lang string",
     )
+    docs = docs.withColumns({"held_out": F.lit("x"), "lang_pred": F.lit(1), "h": F.lit(2), "n": F.lit(None).cast("int")})
     rows = langid.predict(docs, {"en": "the cat and the dog", "de": "der hund und die katze"}).collect()
     assert len(rows) == 8
     by = {r.doc_id: r for r in rows}

@@ -40,16 +40,18 @@ def measures(text):
     windows = [tuple(words[k : k + 3]) for k in range(len(words) - 2)]
     twice = Counter(windows)
     covered = {k + j for k, w in enumerate(windows) if twice[w] > 1 for j in range(3)}
-    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines), len(lines) - len(set(lines)), len(covered)
 
 
 def test_rules_as_brute_force(spark, odd):
     rng = random.Random(7)
-    texts = [" ".join(rng.choice(["a", "b", "c", "d", "e!", "|", "\n", "Ü"]) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    parts = ["a", "b", "c", "d", "f", "e!", "|", "\n", "\n", "Ü", "\t", "\x0b", "\x0c", "\r"]
+    texts = [rng.choice([" ", ""]).join(rng.choice(parts) for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    texts += ["f\nf\nf\nx y", "\x0c\n\x0c\nab\n", "\t\n\t\n\x0bf\n\x0bf"]
     for docs in (docs_of(spark, texts), odd):
         found = rules.judge(rules.ledger(docs).withColumn("k", F.lit(1))).collect()
         want = Counter((r.doc_id, *measures(r.text)) for r in docs.collect())
-        assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in found) == want
+        assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_lines, r.n_dup_lines, r.n_repeat_words) for r in found) == want
     assert rules.ledger(odd.limit(0)).count() == 0
     assert rules.keep(odd).columns == odd.columns
 
@@ -100,6 +102,45 @@ def test_dedup_keeps_one_of_each(spark, odd):
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, 0, 1, 4, 5, 6] and kept.columns == odd.columns
 
 
+def test_dedup_names_rows_by_id_and_text(spark):
+    """Ids that name several texts, or none: no text is lost, and a caller's columns come back as they were."""
+    a, b, c = "first text of all", "another text altogether", "third one without any number"
+    rows = [(5, a, 1), (5, b, 2), (9, b, 3), (None, c, 4), (None, c, 5), (None, a, 6), (7, "unlike the others here", 7), (7, "unlike the others here", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _fp_of_row int")
+    kept = simhash.dedup(docs)
+    found = sorted((r.doc_id or 0, r.text) for r in kept.collect())
+    assert found == sorted([(5, a), (5, b), (0, c), (7, "unlike the others here")]) and kept.columns == docs.columns
+    assert all(tuple(r) in {tuple(x) for x in rows} for r in kept.collect())
+    assert simhash.dedup(docs.limit(0)).count() == 0
+
+
+def test_near_duplicates_as_brute_force(spark, monkeypatch):
+    """Whole texts to components, with every join of a frequent key taken the other way too."""
+    from tessera.llm import common
+
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(400)]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 300))) for _ in range(40)]
+    texts = [*base, *(t + " tail" for t in base[:20]), *base[:5], *[base[0]] * 30, None, ""]
+    docs = spark.createDataFrame([(100 + k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    prints = [simhash.fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for x, y in combinations(range(len(texts)), 2):
+        if (prints[x] ^ prints[y]).bit_count() <= 3:
+            low, high = sorted((top(x), top(y)))
+            root[high] = low
+    want = {100 + k: 100 + top(k) for k in range(len(texts))}
+    for frequent in (1000, 2):
+        monkeypatch.setattr(common, "FREQUENT", frequent)
+        assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == want
+
+
 # -- quality classifier
 
 
@@ -110,6 +151,53 @@ def test_gumbel_top_k(spark):
     assert importance.best_cut(np.array([5, 6]), np.array([-10, 1])) == 3
 
 
+def test_weights_as_brute_force(spark):
+    """Counts, ratios and weights by hand, n-gram by n-gram."""
+    rng = random.Random(5)
+    pool = ["Alpha", "beta", "beta", "GAMMA!", "delta,", "...", "été", "x"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    docs = spark.createDataFrame([*enumerate(texts), (40, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(24)], "doc_id long, quality int")
+
+    def grams(text):
+        words = [w.encode() for w in (text or "").split()]
+        cores = [b"".join(importance._CORE.findall(w)) for w in words]
+        low = [zlib.crc32(c.lower()) for c in cores]
+        for w, c, h in zip(words, cores, low, strict=True):
+            yield h % importance.BUCKETS
+            yield zlib.crc32(b"\0" + importance._CORE.sub(b"", w) + (b"A" if len(c) > 1 and c.isupper() else b"a")) % importance.BUCKETS
+        for a, b in zip(low, low[1:], strict=False):
+            yield importance._REPEAT if a == b else ((a * 0x9E3779B97F4A7C15 + b) % 2**64 >> 20) % importance.BUCKETS
+        if not words:
+            yield importance._EMPTY
+
+    raw = Counter(g for t in [*texts, None] for g in grams(t))
+    target = Counter(g for k, t in enumerate(texts) if k < 24 and k % 3 for g in grams(t))
+    share = lambda c, g: (c[g] + 1) / (sum(c.values()) + importance.BUCKETS)
+    want = {k: sum(round(np.log(share(target, g) / share(raw, g)) * importance.UNIT) for g in grams(t)) for k, t in enumerate([*texts, None])}
+    fitted = importance.fit(docs, labels)
+    rows = fitted.judged().collect()
+    assert {r.doc_id: r.weight for r in rows} == want
+    keys = sorted((r.key for r in rows), reverse=True)
+    n = sum(r.kept for r in rows)
+    assert {r.key for r in rows if r.kept} == set(keys[:n])
+    again = {r.row.doc_id: (r.weight + r.noise, r.kept) for r in fitted.marked(docs).collect()}
+    assert again == {r.doc_id: (r.key, r.kept) for r in rows}
+
+
+def test_quality_of_labels_that_were_not_used(spark):
+    """Weights order good over bad documents whose labels the fit never saw: the area under the curve."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    judged = importance.fit(docs, labels.filter("doc_id % 2 = 0")).judged()
+    told = judged.join(labels.filter("doc_id % 2 = 1"), "doc_id").select("weight", "quality").toPandas()
+    rank = told.weight.rank()
+    good = told.quality > 0
+    area = (rank[good].sum() - good.sum() * (good.sum() + 1) / 2) / (good.sum() * (~good).sum())
+    print(f"area under the curve of {len(told)} unused labels: {area:.3f}")
+    assert area > 0.9
+
+
 def test_resampling_parts_junk(spark, odd):
     rng = random.Random(2)
     text = lambda bad: " ".join(rng.choice(["the", "cat", "sat", "here", "and", "there"]) + ("***" if bad else "") for _ in range(60))
@@ -128,14 +216,40 @@ def test_plan_holds_the_histogram():
     rng = random.Random(1)
     for capacity, n in ((64, 500), (64, 3), (2048, 800)):
         histogram = Counter(min(capacity, int(rng.expovariate(4 / capacity)) + 1) for _ in range(n))
-        groups = packing.plan(dict(histogram), capacity, 30)
-        assert sum((Counter({x: k * count for x, k in content}) for content, count in groups), Counter()) == +histogram or Counter(x for c, m in groups for x, k in c for _ in range(k * m)) == histogram
+        groups = packing.plan(dict(histogram), capacity)
+        assert Counter(x for c, m in groups for x, k in c for _ in range(k * m)) == histogram
         assert all(sum(x * k for x, k in content) <= capacity for content, _ in groups)
         least = -(-sum(x * k for x, k in histogram.items()) // capacity)
         assert sum(count for _, count in groups) <= least * 1.02 + 2
     assert packing.plan({}) == []
 
 
+def test_knapsack_as_brute_force():
+    rng = random.Random(2)
+    for _ in range(30):
+        prices = np.array([-1.0] + [rng.choice([-1.0, rng.random() * k]) for k in range(1, 13)])
+        best = [0.0] * 13
+        for c in range(1, 13):
+            best[c] = max([best[c - 1], *(best[c - k] + prices[k] for k in range(1, c + 1) if prices[k] > 0)])
+        assert np.allclose(packing.knapsack(prices, 12)[0], best)
+
+
+@pytest.mark.parametrize("times", [1, 1000])
+def test_the_program_places_most_and_no_more_than_best_fit(spark, times):
+    """On the lengths of a whole table: most sequences are the program's, and all are no more than best fit alone makes."""
+    cut = packing.pieces(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").repartition(8))
+    histogram = {r["length"]: r["count"] * times for r in cut.groupBy("length").count().collect() if r["length"] < packing.CAPACITY}
+    need = np.zeros(packing.CAPACITY + 1, np.int64)
+    for x, n in histogram.items():
+        need[x] = n
+    found, bound = packing.program(need, packing.CAPACITY)
+    whole = sum(n for _, n in packing.plan(histogram))
+    by_program = sum(n for _, n in found)
+    alone = sum(n for _, n in packing._best_fit(np.flatnonzero(need), need[need > 0], packing.CAPACITY))
+    print(f"sequences: {whole}, by the program {by_program}; best fit alone {alone}; no packing has under {bound:.1f}")
+    assert by_program >= 0.9 * whole and whole <= alone and whole <= bound * 1.001 + 1
+
+
 def test_packed_without_gaps(spark, odd):
     from tokenizers import Tokenizer
 
@@ -161,18 +275,52 @@ def test_packed_without_gaps(spark, odd):
 
 def test_audio_round_trip(spark, odd):
     for text in (None, "", "x" * 192, "é" * 500, LONG[:50_000]):
-        a, data = media.audio(text), (text or "").encode()
-        assert a.payload.rstrip(b" ") == data.rstrip(b" ") and len(a.payload) % 192 == 0 and len(a.payload) >= max(192, len(data))
-        assert media.load(a.media) == a.payload
-        blocks, spans = a.tensors()
-        assert blocks.shape[1:] == (media.BLOCK_FRAMES, media.BANDS) and len(spans) == len(blocks)
-        assert media.tensor_array(blocks).type == media.TENSOR
+        data, payload = (text or "").encode(), media.padded(text)
+        assert payload.rstrip(b" ") == data.rstrip(b" ") and len(payload) % 192 == 0 and len(payload) >= max(192, len(data))
+        assert media.load(media.store(payload)) == payload
+        mel, _ = media.features(media.store(payload))
+        batch = media.tensors(mel)
+        assert batch.schema.field("mel").type == media.TENSOR and batch["mel"].to_numpy_ndarray().shape[1:] == (media.BLOCK_FRAMES, media.BANDS)
+        assert batch["start_s"].to_pylist() == [k * media.BLOCK_FRAMES * media.STEP for k in range(batch.num_rows)]
+        assert (media.unpacked(media.packed(batch)) == mel).all()
     assert media.segments(np.array([0, 0, 5, 4.9, 1, 0, 6.0])) == [(2, 4), (6, 7)]
     x = np.random.default_rng(0).normal(size=999).astype(np.float32)
     slow = np.convolve(np.concatenate([x, np.zeros(30)]), media._filter()[::-1])[len(media._filter()) - 1 :: media.DOWN][: len(media.resampled(x))]
     assert np.allclose(media.resampled(x), slow, atol=1e-4)
-    assert media.digests(odd).count() == odd.count() and media.feature_blocks(odd).filter("size(mel) <> 2048").count() == 0
-    assert media.media_column(odd).count() == odd.count()
+
+
+def test_log_mel_as_brute_force():
+    """Frame by frame and bin by bin, by the definition of the transform."""
+    rng = np.random.default_rng(3)
+    for n in (10, 256, 700):
+        x = rng.normal(size=n)
+        mel = media.log_mel(x.astype(np.float32))
+        frames = 1 + max(0, -(-(n - media.FRAME) // media.HOP))
+        assert mel.shape == (frames, media.BANDS)
+        padded = np.concatenate([x, np.zeros(media.FRAME * 2)])
+        k = np.arange(media.FRAME)
+        for f in range(frames):
+            part = padded[f * media.HOP : f * media.HOP + media.FRAME] * np.hanning(media.FRAME)
+            power = np.array([abs((part * np.exp(-2j * np.pi * b * k / media.FRAME)).sum()) ** 2 for b in range(media.FRAME // 2 + 1)])
+            assert np.allclose(mel[f], np.log10(power @ media._mel() + 1e-6), atol=1e-3)
+
+
+def test_media_columns(spark, odd):
+    """Rows as they come, values of equal texts equal, the feature from the tensors that were read back."""
+    columns = media.media_columns(odd)
+    rows = media.digests(columns).collect()
+    assert Counter((r.doc_id, r.n_bytes) for r in rows) == Counter((r.doc_id, len((r.text or "").encode())) for r in odd.collect())
+    texts = {r.doc_id: r.text for r in odd.collect()}
+    for r in rows:
+        payload = media.padded(texts[r.doc_id])
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.tail_crc32 == zlib.crc32(payload[-16:])
+        stored_form = media.store(payload)
+        assert r.media_bytes == len(stored_form) and r.media_sha256 == hashlib.sha256(stored_form).hexdigest()
+        mel, found = media.features(stored_form)
+        assert r.feature == media.said(mel, [{"start_s": a * media.STEP, "end_s": b * media.STEP} for a, b in found])
+    changed = columns.withColumn("tensors", F.lit(media.packed(media.tensors(np.zeros((3, media.BANDS), np.float32)))))
+    assert all(r.feature.startswith("frames=3;") for r in media.digests(changed).collect())
+    assert media.digests(media.media_columns(odd.limit(0))).count() == 0
 
 
 # -- language model
@@ -215,17 +363,23 @@ def test_contexts_of_a_fixed_count_in_a_larger_corpus(spark):
     assert rows and all(r.train_tokens > 1_000_000 and r.score > r.base_score + 1 for r in rows)
 
 
-def test_scores_as_brute_force(spark):
+@pytest.mark.parametrize("depth", [1, 2, 3])
+def test_scores_as_brute_force(spark, monkeypatch, depth):
+    monkeypatch.setattr(pst, "CHUNK_TOKENS", 900)
+    monkeypatch.setattr(pst, "SLICE", 100)
     rng = random.Random(21)
     texts = [" ".join(rng.choice("aaabbcdefg"[: 3 + k % 8]) for _ in range(rng.randint(0, 60))) for k in range(150)]
     train = [zlib.crc32(str(k).encode()) % 10 != 0 for k in range(len(texts))]
     words = [[*t.split(), None] for t in texts]
-    grams = [Counter(tuple(w[k - o : k + 1]) for w, yes in zip(words, train, strict=True) if yes for k in range(o, len(w))) for o in (0, 1, 2)]
+    grams = [Counter(tuple(w[k - o : k + 1]) for w, yes in zip(words, train, strict=True) if yes for k in range(o, len(w))) for o in range(depth + 1)]
     n, v = sum(grams[0].values()), len(grams[0])
     base = {w: (c + pst.PSEUDO) / (n + pst.PSEUDO * (v + 1)) for (w,), c in grams[0].items()}
     held = {}
-    for o in (1, 2):
-        for context, total in grams[o - 1].items():
+    told = lambda g: grams[len(g) - 1][g] if len(g) == 1 or (known(g[:-1]) and grams[len(g) - 1][g] >= 2 and grams[0][g[-1:]] >= pst.LEAST) else 0
+    known = lambda g: told(g) >= pst.LEAST
+    for o in range(1, depth + 1):
+        for context in grams[o - 1]:
+            total = told(context)
             after = {g[-1]: c for g, c in grams[o].items() if g[:-1] == context and c >= 2 and grams[0][g[-1:]] >= pst.LEAST}
             if total < pst.LEAST or None in context or not after:
                 continue
@@ -233,24 +387,24 @@ def test_scores_as_brute_force(spark):
             if o == 1:
                 q = {w: base[w] for w in after}
             else:
-                back = {w: max(grams[1][context[1], w] if grams[1][context[1], w] >= 2 else 0, pst.PSEUDO) for w in after}
+                back = {w: max(told((*context[1:], w)), pst.PSEUDO) for w in after}
                 q = {w: back[w] / sum(back.values()) * mass / total for w in after}
             rest, qrest = 1 - mass / total, max(1 - sum(q.values()), 1e-12)
             kl = sum(c / total * np.log(c / total / q[w]) for w, c in after.items()) + (rest * np.log(rest / qrest) if rest > 0 else 0)
             if kl >= pst.DIVERGENCE:
                 held[context] = after, total, mass
-    assert {len(c) for c in held} == {1, 2}
+    assert {len(c) for c in held} == set(range(1, depth + 1))
     want = {}
     for k, w in enumerate(words):
         want[k] = 0
         for at in range(len(w)):
             p = base[w[at]]
-            for o in (1, 2):
+            for o in range(1, depth + 1):
                 if at >= o and tuple(w[at - o : at]) in held:
                     after, total, mass = held[tuple(w[at - o : at])]
                     p = (after.get(w[at], 0) + (pst.SMOOTHING + total - mass) * p) / (total + pst.SMOOTHING)
             want[k] += log10(p)
-    got = {r.doc_id: r.score for r in pst.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.score for r in pst.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), depth=depth).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
@@ -294,6 +448,15 @@ def test_only_hiding_attributes_hide():
     assert tree.names[1] == ("one", "two", "three")
 
 
+def test_parsing_is_linear_in_depth():
+    import time
+
+    for page in ("<div>" * 100_000 + "x", "<b>" * 100_000 + "</i>" * 100_000, "<p><table><tr><td>" + "<div>x" * 50_000, "<ul><li>" * 50_000 + "</li>" * 90_000):
+        began = time.time()
+        html_extract.parse(page)
+        assert time.time() - began < 10
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>a &amp; b<p>c<script>x</p>"), (None, "u", "<" * 5000), (4, "u", "<div>" * 3000 + "deep" + "</div>" * 10), (5, "u", "a<!-- b")], "page_id long, url string, html string")
     rows = html_extract.extract(pages).collect()
@@ -318,6 +481,27 @@ def test_archives_round_trip(spark):
     assert warc.archive(pages.limit(0)).count() == 0
 
 
+def test_archives_of_repeated_and_null_ids(spark):
+    rows = [(1, "u", "A"), (1, "u", "B"), (2, "u", "A"), (None, "u", "A"), (None, "u", "N"), (None, "v", "N"), (None, "v", "N"), (3, "u", "C"), (3, "u", "C"), (3, None, "C")]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, payload string, _id string")
+    found = warc.archive(pages, with_payload=True).collect()
+    got = Counter((m.fields["page-id"], r.digest, r.type, m.fields["refers-to-page"]) for r in found for m in r.metadata)
+    digest = {x: base64.b32encode(hashlib.sha1(x.encode()).digest()).decode() for x in "ABCN"}
+    assert got == Counter(
+        {("1", digest["A"], "revisit", "2"): 1, ("1", digest["B"], "response", ""): 1, ("2", digest["A"], "response", ""): 1, ("", digest["A"], "revisit", "2"): 1}
+        | {("", digest["N"], "response", ""): 6, ("3", digest["C"], "response", ""): 6}
+    )
+    assert len(found) == len(rows)
+
+
+def test_archives_roll_over(spark, tmp_path):
+    pages = spark.createDataFrame([(k, "u", f"page {k}") for k in range(50)], "page_id long, url string, html string").coalesce(1)
+    found, _ = warc.captures(pages)
+    warc.write(found.coalesce(1), str(tmp_path / "w"), 7)
+    assert len(list((tmp_path / "w").glob("part-*"))) == 8
+    assert warc.assemble(warc.read_records(spark, str(tmp_path / "w"))).count() == 50
+
+
 def test_broken_archives_are_told():
     with pytest.raises(ValueError):
         list(warc.parse(b"nothing"))
