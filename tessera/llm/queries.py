@@ -159,8 +159,8 @@ ABLATION_SQL = _LEDGER_SQL + """, c AS (
     ('v3', 127, 'few_words', 1), ('v3', 127, 'repeated_windows', 2), ('v3', 127, 'symbols', 4), ('v3', 127, 'duplicate_lines', 8),
     ('v3', 127, 'word_length', 16), ('v3', 127, 'exclamations', 32), ('v3', 127, 'capitals', 64)) t(policy, mask, rule, bit)
 )
-SELECT policy, rule, count(*) AS documents, count_if((failures & mask) <> 0) AS rejected, count_if((failures & bit) <> 0) AS failing,
-       count_if((failures & mask) = bit) AS only_by_this FROM f, c GROUP BY policy, rule
+SELECT policy, rule, count(*) AS documents, CAST(count_if((failures & mask) <> 0) AS BIGINT) AS rejected, CAST(count_if((failures & bit) <> 0) AS BIGINT) AS failing,
+       CAST(count_if((failures & mask) = bit) AS BIGINT) AS only_by_this FROM f, c GROUP BY policy, rule
 """
 
 
