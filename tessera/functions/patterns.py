@@ -220,3 +220,46 @@ QUERY_PERIODS = [(r"(?i)\b(FY\d{2,4})\b", [1]), (r"(?i)\b(Q[1-4])\s*-?\s*(\d{4})
 QUERY_UNITS = [(r"(?i)\b(\$|USD|EUR|GBP|CNY|JPY)\b", [1]), (r"(?i)\b(%|percent|percentage)\b", [1]), (r"(?i)\b(million|billion|thousand|MM|M|B|K)\b", [1]), (r"(?i)\b(ratio|margin|rate|growth|decline)\b", [1])]
 QUERY_VALUES = [(r"\b\d+\.\d+\b", []), (r"\b\d+%\b", []), (r"\$\d+", [])]
 QUERY_TABLES = [(r"(?i)\b(table|figure|chart|exhibit)\s*(\d+(?:\.\d+)?)\b", [1, 2]), (r"(?i)\b(show me|see|refer to|according to)\s+(table|figure)\b", [1, 2])]
+
+# Query variants by financial words.
+FINANCIAL_ABBREVIATIONS = [
+    "eps", "roi", "roe", "roa", "p/e", "pe", "ebitda", "ebit", "fcf", "capex", "opex", "cogs", "sga", "r&d", "rd", "ltv", "cac", "arpu", "mrr", "arr", "nps", "ctr",
+]
+FINANCIAL_STOPWORDS = [
+    "tell", "me", "show", "what", "is", "the", "are", "how", "much", "give", "provide", "find", "get", "about", "for", "in", "on", "of", "to", "from", "with", "by",
+    "at", "this", "that", "these", "those", "can", "you", "please", "would", "could", "should",
+]
+TEMPORAL_NOISE = ["year", "quarter", "month", "period", "time", "current", "latest", "recent", "last", "next", "today", "now", "2024", "2023", "2022"]
+
+# Prompts by intent, (role, documents), and the text around context and question.
+PROMPT_ROLES = {
+    "financial": ("financial analyst", "financial documents and reports"),
+    "technical": ("technical analyst", "product documentation and technical updates"),
+    "process": ("business analyst", "strategic documents and process information"),
+}
+PROMPT_DEFAULT = ("business analyst", "business documents")
+PROMPT = "Analyse %s with the context given, found by %s.\n\n%s\n\nQuestion: %s\n\nAnswer this %s query from the context alone, and say what it lacks."
+
+# Interface words, short key-values, artefacts of HTML in order, and where a page lists its contents.
+UI_WORDS = [
+    "home", "menu", "search", "login", "logout", "sign in", "sign up", "click here", "read more", "show more", "expand", "collapse",
+    "loading", "error", "success", "warning", "info",
+]
+SHORT_KEY_VALUE = [r"^[^:]+:\s*.+$", r"^[^=]+=.+$", r"^[^-]+\s*-\s*.+$"]
+HTML_ARTEFACTS = [
+    (r"&[a-zA-Z0-9#]+;", " "),
+    (r"GLYPH[^G]*GLYPH", ""),
+    (r"GLYPH.*?(?=\s|$)", ""),
+    (r"\s+", " "),
+    (r"(?i)Skip to (?:main )?content", ""),
+    (r"(?i)Toggle navigation", ""),
+    (r"(?i)Search\s*Search", ""),
+    (r"(?i)Home\s*>\s*[^>]*>\s*", ""),
+    (r"(?i)Copyright\s*©\s*\d{4}", ""),
+    (r"(?i)All rights reserved", ""),
+    (r"(?i)Privacy Policy", ""),
+    (r"(?i)Terms of Service", ""),
+]
+#: (tag or none, class or none) in the order in which they are tried; the sixth is a list inside a nav.
+CONTENTS_PLACES = [("nav", "table-of-contents"), ("nav", "toc"), (None, "table-of-contents"), (None, "document-index"), (None, "toc"), ("nav ul", None), (None, "contents")]
+CONTENTS_CLASSES = ["toc", "contents", "index"]

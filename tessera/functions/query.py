@@ -87,7 +87,36 @@ def understand(queries: DataFrame, query_col: str = "query") -> DataFrame:
     out = queries.withColumn("_i", intent(q)).withColumn("intent", F.col("_i.intent")).withColumn("confidence", F.col("_i.confidence")).drop("_i")
     out = out.withColumn("keywords", keywords(q, F.col("intent"))).withColumn("_lead", focused(F.col("keywords"), F.col("intent")))
     out = out.withColumn("variants", search_variants(q, F.col("intent"), F.col("keywords"), F.col("_lead"))).drop("_lead")
-    return out.withColumn("optimized_query", optimized_query(q, F.col("confidence"), F.col("variants"))).withColumn("context_preserved", F.size("keywords") > 2)
+    return out.withColumn("optimized_query", optimized_query(q, F.col("confidence"), F.col("variants"))).withColumn("context_preserved", preserve_context(F.col("intent"), F.col("confidence")))
+
+
+def intent_filters(signals: Column) -> Column:
+    """Filters of a struct of signals (temporal, financial, references): dates by part, any metric, any reference."""
+    dates = F.transform(signals["temporal"], lambda v: F.concat(F.lit("mentioned_dates:*"), v, F.lit("*")))
+    one = lambda values, text: F.when(F.size(values) > 0, F.array(F.lit(text))).otherwise(F.array().cast("array<string>"))
+    return F.concat(dates, one(signals["financial"], "metric_terms:*"), one(signals["references"], "doc_refs:*"))
+
+
+def financial_terms(query: Column) -> Column:
+    """Abbreviations in upper case and words over three letters that aren't stop words or times: distinct, in order."""
+    words = F.regexp_extract_all(F.lower(query), F.lit(r"\b\w+(?:/\w+)?\b"), 0)
+    kept = F.transform(words, lambda w: F.when(w.isin(P.FINANCIAL_ABBREVIATIONS), F.upper(w)).when(
+        (F.length(w) > 3) & ~w.isin(P.FINANCIAL_STOPWORDS) & ~w.isin(P.TEMPORAL_NOISE) & w.rlike(r"\p{L}"), w))
+    return F.array_distinct(F.array_compact(kept))
+
+
+def financial_variants(query: Column, terms: Column) -> Column:
+    """The query, its terms together, and the first two alone: distinct by lower case, three at most."""
+    more = F.when(F.size(terms) > 1, F.concat(F.array(F.array_join(terms, " ")), F.slice(terms, 1, 2))).otherwise(terms)
+    every = F.concat(F.array(query), more)
+    first = F.filter(every, lambda v, i: ~F.array_contains(F.transform(F.slice(every, 1, i), lambda x: F.lower(x)), F.lower(v)))
+    return F.slice(first, 1, 3)
+
+
+def best_financial_query(query: Column, variants: Column) -> Column:
+    """The first variant of two words at most that isn't the query, else the query."""
+    short = F.filter(F.slice(variants, 2, 2), lambda v: (F.size(F.split(v, " ")) <= 2) & (v != query))
+    return F.coalesce(F.get(short, F.lit(0)), query)
 
 
 def content_type(query: Column) -> Column:

@@ -48,6 +48,44 @@ def is_meaningful(text: Column | str, min_words: int = 3) -> Column:
     return (word_count(cleaned) >= min_words) & ~any_match(cleaned, P.NOISE)
 
 
+#: White space as the reference's language trims it, wider than SQL's: Unicode's and four separators.
+_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
+
+
+def stripped(text: Column | str) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(_col(text), rf"^{_SPACE}+|{_SPACE}+\z", "")
+
+
+def is_ui_noise(text: Column | str) -> Column:
+    """Under ten characters, a word of an interface, or one short word."""
+    t = _col(text)
+    return (F.length(t) < 10) | F.lower(stripped(t)).isin(P.UI_WORDS) | (~t.contains(" ") & (F.length(t) < 20))
+
+
+def is_short_key_value(text: Column | str) -> Column:
+    """A looser key-value test, of ten words at most."""
+    t = stripped(text)
+    words = F.size(F.filter(F.split(t, r"\s+"), lambda w: w != ""))
+    return (words > 0) & (words <= 10) & any_match(t, P.SHORT_KEY_VALUE)
+
+
+def clean_artefacts(text: Column | str) -> Column:
+    """Text of HTML without entities, extraction artefacts and navigation; null becomes empty."""
+    out = F.coalesce(_col(text), F.lit(""))
+    for pattern, instead in P.HTML_ARTEFACTS:
+        out = F.regexp_replace(out, pattern, instead)
+    return stripped(out)
+
+
+def for_embedding(text: Column | str, most: int = 2000) -> Column:
+    """Text cut to ``most`` characters after its last whole sentence there; without one, just cut."""
+    t = clean_content(text)
+    head = F.substring(t, 1, most)
+    whole = F.regexp_extract(head, r"(?s)^(.*[.!?])(?:\s|$)", 1)
+    return F.when(F.length(t) <= most, t).when(whole != "", whole).otherwise(head)
+
+
 def lines(text: Column | str) -> Column:
     """Lines as an array; a last empty line doesn't count."""
     t = F.regexp_replace(_col(text), "\x1c|\x1d|\x1e", "\n")
@@ -63,21 +101,21 @@ def heading_level(line: Column | str, max_level: int = 3) -> Column:
 
 
 def heading_text(line: Column | str, max_level: int = 3) -> Column:
-    return F.btrim(F.regexp_extract(_col(line), rf"^#{{1,{max_level}}}\s+(.+)", 1))
+    return stripped(F.regexp_extract(_col(line), rf"^#{{1,{max_level}}}\s+(.+)", 1))
 
 
 def is_key_value(line: Column | str) -> Column:
-    return any_match(F.btrim(_col(line)), P.KEY_VALUE)
+    return any_match(stripped(line), P.KEY_VALUE)
 
 
 def is_table_line(line: Column | str) -> Column:
-    t = F.btrim(_col(line))
+    t = stripped(line)
     return t.contains("|") & (t != "|") & ~t.startswith("#")
 
 
 def line_kind(line: Column | str, max_level: int = 3) -> Column:
     """heading, skip (table lines, lines without words), kv, blank or text, by the first that fits."""
-    t = F.btrim(_col(line))
+    t = stripped(line)
     return (
         F.when(is_heading(line, max_level), "heading").when(is_table_line(line), "skip").when(is_key_value(line), "kv").when(t == "", "blank")
         .when((word_count(line) >= 1) & (F.length(t) > 1), "text").otherwise("skip")

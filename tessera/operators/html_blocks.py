@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import patterns as P
 from tessera.operators import chunking as C
+from tessera.operators import tables as B
 
 _HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _KEPT = _HEADS | {"p", "div", "ul", "ol", "li", "section", "article"}
@@ -187,35 +188,79 @@ def tables(page: str) -> list[tuple[int, int, int, str, bool, bool]]:
     return out
 
 
-def nav_links(page: str) -> list[tuple[int, str, str, int]]:
-    """(ord, title, target, level) of the first list of contents: a nav or element named toc, else any nav."""
-    nodes = list(dom(page).walk())
-    named = lambda n: "toc" in n.classes or n.attrs.get("id", "").lower() == "toc"
-    root = next((n for n in nodes if n.tag == "nav" and named(n)), None) or next((n for n in nodes if named(n)), None) or next((n for n in nodes if n.tag == "nav"), None)
+def table_titles(page: str) -> list[tuple[int, str]]:
+    """(table, title): its caption if that is under 100 characters, else the last heading under the nearest of three
+    ancestors that has one, else contents by its class names; tables without any are left out."""
     out = []
-    for link in (x for x in root.walk() if x.tag == "a") if root else ():
-        depth, up = 0, link.parent
-        while up is not root and up is not None:
-            depth += up.tag in ("ul", "ol")
-            up = up.parent
-        hint = next((int(m[1]) for c in link.classes if (m := re.fullmatch(r"level-(\d)", c))), None)
-        if title := link.text():
-            out.append((len(out), title, link.attrs.get("href", ""), depth or hint or 1))
+    for t, table in enumerate(x for x in dom(page).walk() if x.tag == "table"):
+        caption = next((x.text() for x in table.walk() if x.tag == "caption"), "")
+        title, up = caption if 0 < len(caption) < 100 else "", table.parent
+        for _ in range(3):
+            if title or up is None:
+                break
+            heading = next((h for x in reversed([x for x in up.walk() if x.tag in _HEADS]) if (h := x.text())), "")
+            title, up = heading and f"Table: {heading}", up.parent
+        if not title and any(hint in " ".join(table.classes) for hint in P.CONTENTS_CLASSES):
+            title = "Table of Contents"
+        if title:
+            out.append((t, title))
     return out
 
 
+def _contents(nodes: list[Node]) -> Iterator[Node]:
+    """The first element at each of the places where a page lists its contents, in the places' order."""
+    for tag, name in P.CONTENTS_PLACES:
+        for node in nodes:
+            if tag == "nav ul":
+                up = node.parent if node.tag == "ul" else None
+                while up is not None and up.tag != "nav":
+                    up = up.parent
+                found = up is not None
+            else:
+                found = (tag is None or node.tag == tag) and name in node.classes
+            if found:
+                yield node
+                break
+
+
+def nav_links(page: str) -> list[tuple[int, str, str, int]]:
+    """(ord, title, target, level) of the first list of contents with a title: its links, else its items."""
+    for root in _contents(list(dom(page).walk())):
+        inside, out = list(root.walk()), []
+        for item in [x for x in inside if x.tag == "a"] or [x for x in inside if x.tag in ("li", "div")]:
+            depth, up = 0, item.parent
+            while up is not None:
+                depth += up.tag in ("ul", "ol")
+                up = None if up is root else up.parent
+            hint = next((int(m[1]) for c in item.classes if (m := re.fullmatch(r"level-(\d)", c))), None)
+            if title := item.text():
+                out.append((len(out), title, item.attrs.get("href", ""), depth or hint or 1))
+        if out:
+            return out
+    return []
+
+
 def _rows(pages: DataFrame, find, schema: str, html: str, id_col: str) -> DataFrame:
-    """One row for each tuple that ``find`` makes of a page."""
+    """One row for each tuple that ``find`` makes of a page; ids stay strings or become longs."""
+    kept = "string" if dict(pages.dtypes)[id_col] == "string" else "long"
+    schema = schema.replace("doc_id long", f"doc_id {kept}")
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[f.split()[1]] for f in schema.split(", ")]
         for batch in batches:
+            rows, held = [], 0
             for doc_id, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if rows := [(doc_id, *x) for x in find(page.as_py() or "")]:
+                found = [(doc_id, *x) for x in find(page.as_py() or "")]
+                rows += found
+                held += sum(len(v) for x in found for v in x if isinstance(v, str))
+                if held > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows, held = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return pages.select(F.col(id_col).cast("long").alias("doc_id"), F.col(html).cast("string")).mapInArrow(run, schema)
+    return pages.select(F.col(id_col).cast(kept).alias("doc_id"), F.col(html).cast("string")).mapInArrow(run, schema)
 
 
 def element_stream(pages: DataFrame, max_level: int = 3, clean: bool = False, html: str = "html", id_col: str = "page_id") -> DataFrame:
@@ -228,6 +273,17 @@ def html_tables(pages: DataFrame, html: str = "html", id_col: str = "page_id") -
     return _rows(pages, tables, "doc_id long, table_no int, row int, col int, text string, column_header boolean, row_header boolean", html, id_col)
 
 
+def html_table_titles(pages: DataFrame, html: str = "html", id_col: str = "page_id") -> DataFrame:
+    return _rows(pages, table_titles, "doc_id long, table_no int, label string", html, id_col)
+
+
+def html_table_chunks(pages: DataFrame, html: str = "html", id_col: str = "page_id") -> DataFrame:
+    """Chunks of the tables of pages, as :func:`tessera.operators.tables.table_chunks` makes them."""
+    table_id = F.concat(F.lit("html_table_"), F.col("table_no").cast("string")).alias("table_id")
+    cells = html_tables(pages, html, id_col).select("doc_id", table_id, "row", "col", "text", "column_header", "row_header", F.lit(False).alias("row_section"))
+    return B.table_chunks(cells, html_table_titles(pages, html, id_col).select("doc_id", table_id, "label"))
+
+
 def html_toc(pages: DataFrame, html: str = "html", id_col: str = "page_id") -> DataFrame:
     return _rows(pages, nav_links, "doc_id long, ord int, title string, target string, level int", html, id_col)
 

@@ -27,8 +27,51 @@ def batch_totals(files: DataFrame) -> DataFrame:
 
 def breakdown(chunks: DataFrame, first: str, second: str) -> DataFrame:
     """Counts by each of two columns and in all, as grouping sets of one pass: (first, second, level, n)."""
-    chunks.createOrReplaceTempView("_breakdown")
-    return chunks.sparkSession.sql(f"SELECT {first}, {second}, CAST(grouping_id() AS INT) AS level, count(*) AS n FROM _breakdown GROUP BY GROUPING SETS (({first}), ({second}), ())")
+    a, b = F.col(first), F.col(second)
+    return chunks.groupingSets([[a], [b], []], a, b).agg(F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"))
+
+
+#: Dollars for a thousand tokens of prompts and of answers, and the share of prompts.
+PROMPT_PRICE, ANSWER_PRICE, PROMPT_SHARE = 0.00015, 0.0006, 0.7
+
+
+def blended_cost(tokens: Column) -> Column:
+    """The cost of tokens of which 70 % are prompts and 30 % answers; :func:`batch_totals` counts all as prompts."""
+    return F.round(tokens / 1000 * (PROMPT_SHARE * PROMPT_PRICE + (1 - PROMPT_SHARE) * ANSWER_PRICE), 6)
+
+
+def content_profile(hits: DataFrame, by: str) -> DataFrame:
+    """By group: hits, distinct pages and sections, and hits of each type as a map."""
+    counts = hits.groupBy(by, "chunk_type").agg(F.count(F.lit(1)).alias("k"))
+    types = counts.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("chunk_type", "k")))).alias("chunk_types"))
+    return hits.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page").alias("pages"), F.count_distinct("section").alias("sections")).join(types, by)
+
+
+def performance(history: DataFrame, by: str) -> DataFrame:
+    """By group: queries, mean and greatest seconds, mean confidence, and the share answered from the cache."""
+    return history.groupBy(by).agg(
+        F.count(F.lit(1)).alias("queries"), F.round(F.avg("seconds"), 6).alias("avg_seconds"), F.max("seconds").alias("max_seconds"),
+        F.round(F.avg("confidence"), 6).alias("avg_confidence"), F.round(F.avg(F.col("cached").cast("int")), 6).alias("cache_hit_rate"),
+    )
+
+
+def phases(steps: DataFrame, run: str) -> DataFrame:
+    """Steps (run, phase, items, seconds) with items a second and the phase's share of its run, and the run's efficiency."""
+    total = F.sum("seconds").over(Window.partitionBy(run))
+    return steps.withColumns(
+        {
+            "rate": F.round(F.col("items") / F.nullif(F.col("seconds"), F.lit(0.0)), 6),
+            "share_pct": F.round(F.col("seconds") / F.nullif(total, F.lit(0.0)) * 100, 3),
+            "efficiency": efficiency(total),
+        }
+    )
+
+
+def run_summary(files: DataFrame, by: str) -> DataFrame:
+    """By format: files, failures, chunks and the error of the first that failed; the rows of a run's report."""
+    return files.groupBy(by).agg(
+        F.count(F.lit(1)).alias("files"), F.count_if(~F.col("ok")).alias("failed"), F.sum("chunks").alias("chunks"), F.min_by("error", F.when(~F.col("ok"), F.col("file"))).alias("first_error")
+    )
 
 
 def coverage(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -78,6 +121,10 @@ def term_counts(text: Column, terms: list[str]) -> Column:
     return F.map_from_entries(F.filter(every, lambda e: e["value"] > 0))
 
 
-def report(totals: dict) -> str:
-    """A run's totals as Markdown."""
-    return "\n".join(["| metric | value |", "| --- | --- |", *[f"| {k} | {v} |" for k, v in totals.items()]])
+def report(totals: dict, rows: list[dict] | None = None) -> str:
+    """A run's totals as Markdown, and under them a table of the few rows that sum it up (by format or phase)."""
+    out = ["| metric | value |", "| --- | --- |", *[f"| {k} | {v} |" for k, v in totals.items()]]
+    if rows:
+        names = list(rows[0])
+        out += ["", "| " + " | ".join(names) + " |", "|" + " --- |" * len(names), *["| " + " | ".join(str(r[n]) for n in names) + " |" for r in rows]]
+    return "\n".join(out)

@@ -36,9 +36,11 @@ def compile_filters(df: DataFrame, filters: list[str]) -> Column:
 
 
 def top_k(collection: DataFrame, query: list[float], k: int, filters: list[str] = (), vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """The k rows nearest to one vector by cosine, ties to the smaller id; the plan keeps k rows per partition."""
+    """The k rows nearest to one vector by cosine, ties to the smaller id; the plan keeps k rows per partition.
+    Zero vectors are nobody's neighbours."""
     score = V.cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query]))
-    return collection.filter(compile_filters(collection, list(filters))).withColumn("score", score).drop(vector).orderBy(F.desc("score"), id_col).limit(k)
+    wanted = collection.filter(compile_filters(collection, list(filters))).withColumn("score", score)
+    return wanted.filter("score IS NOT NULL").drop(vector).orderBy(F.desc("score"), id_col).limit(k)
 
 
 def top_k_each(collection: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", id_col: str = "vec_id", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
@@ -58,15 +60,17 @@ def top_k_each(collection: DataFrame, queries: DataFrame, k: int, vector: str =
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _block_top_k(collection: DataFrame, ids: list[int], vectors: list[list[float]], k: int, id_col: str, query_id: str) -> DataFrame:
+def _block_top_k(collection: DataFrame, ids: list[int], of_queries: list[list[float]], k: int, id_col: str, query_id: str) -> DataFrame:
     def unit(x: np.ndarray) -> np.ndarray:
         norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
         return np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 0)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, names = unit(np.array(vectors, np.float64)), np.array(ids, np.int64)
+        wanted, names = unit(np.array(of_queries, np.float64)), np.array(ids, np.int64)
         for batch in batches:
-            rows, keys = unit(np.array(batch.column(1).to_pylist(), np.float64)), np.asarray(batch.column(0))
+            vectors = batch.column(1)
+            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            rows, keys = unit(flat.reshape(len(vectors), -1)), np.asarray(batch.column(0))
             for at in range(0, len(names), 256):
                 scores = np.round(wanted[at : at + 256] @ rows.T, 12)
                 scores[np.isnan(scores)] = -np.inf
@@ -88,8 +92,8 @@ def dedupe_best(hits: DataFrame, id_col: str = "id") -> DataFrame:
     return hits.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
 
-def dedupe_first(hits: DataFrame, keys: tuple[str, ...] = ("doc_id", "page")) -> DataFrame:
-    """Of hits of the same document and page the first in order; missing pages are the same page."""
+def dedupe_first(hits: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """Of hits of the same key the first in order; by ("doc_id", "page") missing pages are the same page."""
     w = Window.partitionBy(*keys).orderBy("ord")
     return hits.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
 
@@ -107,11 +111,13 @@ def rebalance(hits: DataFrame, target: str, k: int, text: str = "text") -> DataF
     if target == "financial":
         return hits.orderBy(F.desc("score"), "ord").limit(k)
     marked = hits.withColumn("content_class", content_class(F.col(text), target))
-    group = F.when(F.col("content_class").isin("target", "relevant"), F.col("content_class")).otherwise("rest")
-    ranked = marked.withColumn("_g", group).withColumn("_n", F.row_number().over(Window.partitionBy("_g").orderBy(F.desc("score"), "ord")))
-    quota = F.when(F.col("_g") == "target", int(k * 0.6)).when(F.col("_g") == "relevant", int(k * 0.3)).otherwise(k)
-    place = F.when(F.col("_g") == "target", 0).when(F.col("_g") == "relevant", 1).otherwise(2)
-    return ranked.filter(F.col("_n") <= quota).orderBy(place, "_n").limit(k).drop("_g", "_n")
+    quotas = (("target", int(k * 0.6)), ("relevant", int(k * 0.3)), (None, k))
+    found = None
+    for place, (name, quota) in enumerate(quotas):  # a top-k each: every task sends on its best, no group meets in one
+        mine = F.col("content_class") == name if name else ~F.col("content_class").isin("target", "relevant")
+        best = marked.filter(mine).orderBy(F.desc("score"), "ord").limit(quota).withColumn("_place", F.lit(place))
+        found = best if found is None else found.unionByName(best)
+    return found.orderBy("_place", F.desc("score"), "ord").limit(k).drop("_place")
 
 
 def _any_contains(values: Column, part: str) -> Column:
@@ -157,15 +163,3 @@ def rerank(hits: DataFrame, query: str, k: int, text: str = "text", scorer: Call
     raw = scorer(query, F.col(text)).cast("double")
     finite = F.when(raw.isNotNull() & ~F.isnan(raw) & (F.abs(raw) != float("inf")), raw).otherwise(F.col("score"))
     return hits.withColumn("rerank_score", finite).orderBy(F.desc("rerank_score"), order).limit(k)
-
-
-def context_block(hits: DataFrame, text: str = "text", limit: int = 10) -> DataFrame:
-    """One row: the first hits as numbered blocks."""
-    rows = F.slice(F.array_sort(F.collect_list(F.struct("ord", F.col(text).alias("t")))), 1, limit)
-    return hits.agg(F.array_join(F.transform(rows, lambda x, i: F.concat(F.lit("[Chunk "), (i + 1).cast("string"), F.lit("] "), x["t"])), "\n\n").alias("context"))
-
-
-def citations(hits: DataFrame, text: str = "text") -> DataFrame:
-    """A preview of 200 characters, the source and the scores of each hit."""
-    preview = F.when(F.length(text) > 200, F.concat(F.substring(text, 1, 200), F.lit("..."))).otherwise(F.col(text))
-    return hits.withColumn("citation", F.struct(preview.alias("preview"), F.struct("doc_id", "page").alias("source"), F.col("score").alias("vector_score")))

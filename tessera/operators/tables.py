@@ -9,22 +9,25 @@ from tessera.functions import text as T
 
 #: Words of a table chunk, and words that a header counts for.
 MAX_WORDS, HEADER_WORDS = 300, 3
+#: What names a table: ids repeat from document to document.
+KEYS = ["doc_id", "table_id"]
 
 
 def cell_matrix(cells: DataFrame) -> DataFrame:
-    """Spans filled, later cells over earlier ones: (table_id, row, col, text, column_header, row_header, row_section).
+    """Spans filled, later cells over earlier ones: (doc_id, table_id, row, col, text, column_header, row_header, row_section).
 
-    Takes (table_id, ord, start_row, end_row, start_col, end_col, text, column_header, row_header, row_section).
+    Takes (doc_id, table_id, ord, start_row, end_row, start_col, end_col, text, column_header, row_header, row_section).
     """
     body = F.struct("ord", "text", "column_header", "row_header", "row_section")
     span = lambda a, b: F.explode(F.when(F.col(b) > F.col(a), F.sequence(F.col(a), F.col(b) - 1)).otherwise(F.array(F.col(a))))
-    spread = cells.select("table_id", body.alias("c"), "start_col", "end_col", span("start_row", "end_row").alias("row")).select("table_id", "row", "c", span("start_col", "end_col").alias("col"))
-    return spread.groupBy("table_id", "row", "col").agg(F.max_by("c", "c.ord").alias("c")).select("table_id", "row", "col", "c.text", "c.column_header", "c.row_header", "c.row_section")
+    rows = cells.select(*KEYS, body.alias("c"), "start_col", "end_col", span("start_row", "end_row").alias("row"))
+    spread = rows.select(*KEYS, "row", "c", span("start_col", "end_col").alias("col"))
+    return spread.groupBy(*KEYS, "row", "col").agg(F.max_by("c", "c.ord").alias("c")).select(*KEYS, "row", "col", "c.text", "c.column_header", "c.row_header", "c.row_section")
 
 
 def rows_of(matrix: DataFrame) -> DataFrame:
-    """(table_id, row, cells, section, header): cells in column order."""
-    return matrix.groupBy("table_id", "row").agg(
+    """(doc_id, table_id, row, cells, section, header): cells in column order."""
+    return matrix.groupBy(*KEYS, "row").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))).alias("cells"),
         F.bool_or(F.coalesce("row_section", F.lit(False))).alias("section"),
         F.bool_and(F.coalesce("column_header", F.lit(False))).alias("header"),
@@ -32,13 +35,13 @@ def rows_of(matrix: DataFrame) -> DataFrame:
 
 
 def group_rows(rows: DataFrame, max_words: int = MAX_WORDS, header_words: int = HEADER_WORDS) -> DataFrame:
-    """(table_id, group, rows): rows in order; a group ends before a section row and where it would get too long.
+    """(doc_id, table_id, group, rows): rows in order; a group ends before a section row and where it would get too long.
 
     A fold over a table's rows: what a row does depends on all before it.
     """
     item = F.struct("row", "cells", "section", T.word_count(F.concat_ws(" ", "cells")).alias("words"))
-    tables = rows.filter(~F.col("header")).groupBy("table_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    heads = rows.filter("header").groupBy("table_id").agg(F.max(F.size("cells")).alias("headers"))
+    tables = rows.filter(~F.col("header")).groupBy(*KEYS).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    heads = rows.filter("header").groupBy(*KEYS).agg(F.max(F.size("cells")).alias("headers"))
     start = F.struct(F.slice(F.array(F.slice("items", 1, 1)), 1, 0).alias("done"), F.slice("items", 1, 0).alias("now"), F.lit(0).alias("words"))
     base = F.coalesce("headers", F.lit(0)) * header_words
 
@@ -50,8 +53,8 @@ def group_rows(rows: DataFrame, max_words: int = MAX_WORDS, header_words: int =
             F.when(full, x["words"]).otherwise(a["words"] + x["words"]).alias("words"),
         )
 
-    folded = tables.join(heads, "table_id", "left").withColumn("base", base).select("table_id", F.aggregate("items", start, step, lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])).alias("groups"))
-    return folded.select("table_id", F.posexplode("groups").alias("group", "rows"))
+    folded = tables.join(heads, KEYS, "left").withColumn("base", base).select(*KEYS, F.aggregate("items", start, step, lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])).alias("groups"))
+    return folded.select(*KEYS, F.posexplode("groups").alias("group", "rows"))
 
 
 def table_text(title: Column, headers: Column, rows: Column) -> Column:
@@ -62,27 +65,34 @@ def table_text(title: Column, headers: Column, rows: Column) -> Column:
 
 
 def table_chunks(matrix: DataFrame, titles: DataFrame, min_words: int = 3) -> DataFrame:
-    """(table_id, table_no, title, group, text): titles (table_id, label) or "Table n", n by table_id among non-empty tables."""
+    """(doc_id, table_id, table_no, title, group, text): titles (doc_id, table_id, label) or "Table n", n by order among
+    the document's tables (ids of one document differ in their number alone)."""
     rows = rows_of(matrix)
-    headers = rows.filter("header").groupBy("table_id").agg(F.min_by("cells", "row").alias("headers"))
-    numbered = matrix.select("table_id").distinct().withColumn("table_no", F.row_number().over(Window.orderBy("table_id")))
-    named = numbered.join(titles, "table_id", "left").withColumn("title", F.coalesce(F.nullif("label", F.lit("")), F.concat(F.lit("Table "), F.col("table_no").cast("string")))).drop("label")
-    out = group_rows(rows).join(named, "table_id").join(headers, "table_id", "left")
+    headers = rows.filter("header").groupBy(*KEYS).agg(F.min_by("cells", "row").alias("headers"))
+    order = Window.partitionBy("doc_id").orderBy(F.length("table_id"), "table_id")
+    numbered = matrix.select(*KEYS).distinct().withColumn("table_no", F.row_number().over(order))
+    title = F.coalesce(F.nullif("label", F.lit("")), F.concat(F.lit("Table "), F.col("table_no").cast("string")))
+    named = numbered.join(titles.select(*KEYS, "label"), KEYS, "left").withColumn("title", title).drop("label")
+    out = group_rows(rows).join(named, KEYS).join(headers, KEYS, "left")
     text = table_text(F.col("title"), F.coalesce("headers", F.array().cast("array<string>")), F.col("rows"))
-    return out.withColumn("text", text).filter(T.word_count("text") >= min_words).select("table_id", "table_no", "title", "group", "text")
+    return out.withColumn("text", text).filter(T.word_count("text") >= min_words).select(*KEYS, "table_no", "title", "group", "text")
 
 
 def cell_samples(rows: DataFrame) -> DataFrame:
     """At most ten "header: cell" of the first five rows, the header by its place."""
-    headers = rows.filter("header").groupBy("table_id").agg(F.min_by("cells", "row").alias("headers"))
-    body = rows.filter(~F.col("header")).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("rs"))
+    headers = rows.filter("header").groupBy(*KEYS).agg(F.min_by("cells", "row").alias("headers"))
+    body = rows.filter(~F.col("header")).groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("rs"))
     named = lambda r: F.filter(F.transform(r["cells"], lambda c, i: F.when(c != "", F.concat(F.coalesce(F.get("headers", i), F.lit("")), F.lit(": "), c))), lambda s: s.isNotNull())
-    return body.join(headers, "table_id", "left").select("table_id", F.slice(F.flatten(F.transform(F.slice("rs", 1, 5), named)), 1, 10).alias("cell_samples"))
+    return body.join(headers, KEYS, "left").select(*KEYS, F.slice(F.flatten(F.transform(F.slice("rs", 1, 5), named)), 1, 10).alias("cell_samples"))
 
 
-def table_metadata(chunks: DataFrame) -> DataFrame:
-    """Units and periods named in the text of table chunks."""
-    return chunks.withColumn("units", T.units("text")).withColumn("periods", T.periods("text"))
+def table_metadata(chunks: DataFrame, rows: DataFrame) -> DataFrame:
+    """Table chunks with col_headers, row_headers, units, periods and cell_samples of their tables."""
+    heads = rows.filter("header").groupBy(*KEYS).agg(F.min_by("cells", "row").alias("col_headers"))
+    first = F.struct("row", F.get("cells", F.lit(0)).alias("t"))
+    sides = rows.filter(~F.col("header")).groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(first)), lambda x: x["t"]).alias("row_headers"))
+    out = chunks.join(heads, KEYS, "left").join(sides, KEYS, "left").join(cell_samples(rows), KEYS, "left")
+    return out.withColumn("units", T.units("text")).withColumn("periods", T.periods("text"))
 
 
 def pack_rows(rows: DataFrame, key: str, order: str, size: str, capacity: float) -> DataFrame:

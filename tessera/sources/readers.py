@@ -50,8 +50,9 @@ def json_texts(docs: DataFrame) -> DataFrame:
 
 def json_cells(docs: DataFrame) -> DataFrame:
     """The cells of all tables: (doc_id, table_id, label, page, ord, start_row, …)."""
-    t = docs.select("doc_id", F.explode("parsed.tables").alias("t"))
-    c = t.select("doc_id", F.col("t.self_ref").alias("table_id"), F.col("t.label").alias("label"), F.get("t.prov", F.lit(0))["page_no"].alias("page"), F.posexplode("t.data.table_cells").alias("ord", "c"))
+    t = docs.select("doc_id", F.posexplode("parsed.tables").alias("n", "t"))
+    unnamed = F.concat(F.lit("#/tables/"), F.col("n").cast("string"))
+    c = t.select("doc_id", F.coalesce("t.self_ref", unnamed).alias("table_id"), F.col("t.label").alias("label"), F.get("t.prov", F.lit(0))["page_no"].alias("page"), F.posexplode("t.data.table_cells").alias("ord", "c"))
     names = {"start_row": "start_row_offset_idx", "end_row": "end_row_offset_idx", "start_col": "start_col_offset_idx", "end_col": "end_col_offset_idx", "text": "text"}
     flags = [F.coalesce(f"c.{f}", F.lit(False)).alias(f) for f in ("column_header", "row_header", "row_section")]
     return c.select("doc_id", "table_id", "label", "page", "ord", *[F.col(f"c.{v}").alias(k) for k, v in names.items()], *flags)
@@ -118,6 +119,14 @@ def export_by_method(points: DataFrame) -> DataFrame:
     return points.groupBy("method").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text"))), lambda x: x["text"]).alias("texts"))
 
 
+def export_detailed(points: DataFrame) -> DataFrame:
+    """(method, chunk_id, document, page, chunk_type, words, text), a row per point: the detailed export, which is written
+    with ``write.partitionBy("method").json`` so that no method's texts meet in one row."""
+    has = set(points.columns)
+    out = [F.col(c) if c in has else F.lit(None).cast("string").alias(c) for c in ("method", "chunk_id", "document", "page", "chunk_type")]
+    return points.select(*out, T.word_count("text").alias("words"), "text")
+
+
 def append_log(entries: DataFrame, path: str) -> None:
     entries.write.mode("append").json(path)
 

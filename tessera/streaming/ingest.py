@@ -10,11 +10,12 @@ from tessera.operators import chunking
 
 
 def chunk_stream(spark: SparkSession, source: str, schema: str, sink: str, checkpoint: str) -> StreamingQuery:
-    """Parquet files of documents as they land -> tidy chunks appended to ``sink``; each batch is whole documents."""
+    """Parquet files of documents as they land -> tidy chunks under ``sink``; each batch is whole documents, and has a folder
+    of its own, which it writes over when it is played again."""
     docs = spark.readStream.schema(schema).parquet(source)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        chunking.tidy(chunking.chunk_markdown(batch)).withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(sink)
+        chunking.tidy(chunking.chunk_markdown(batch)).write.mode("overwrite").parquet(f"{sink}/batch_id={batch_id}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -110,8 +110,8 @@ def test_html():
 
 
 def test_table_groups_start_at_sections(spark):
-    rows = [("t", 0, ["a", "b"], False, True), ("t", 1, ["x y"], False, False), ("t", 2, ["S"], True, False), ("t", 3, ["z"], False, False)]
-    out = tables.group_rows(spark.createDataFrame(rows, "table_id string, row int, cells array<string>, section boolean, header boolean")).orderBy("group").collect()
+    rows = [(1, "t", 0, ["a", "b"], False, True), (1, "t", 1, ["x y"], False, False), (1, "t", 2, ["S"], True, False), (1, "t", 3, ["z"], False, False)]
+    out = tables.group_rows(spark.createDataFrame(rows, "doc_id int, table_id string, row int, cells array<string>, section boolean, header boolean")).orderBy("group").collect()
     assert [[x.row for x in r.rows] for r in out] == [[1], [2, 3]]
 
 
@@ -128,3 +128,39 @@ def test_stream_of_documents(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "in"))
     ingest.chunk_stream(spark, str(tmp_path / "in"), "doc_id int, text string", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    import shutil
+
+    shutil.rmtree(tmp_path / "cp")  # the same batch is played again
+    ingest.chunk_stream(spark, str(tmp_path / "in"), "doc_id int, text string", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_stripped_takes_all_white_space(spark):
+    kinds = one(spark, *[T.line_kind(F.lit(x)) for x in ("\t", "\u00a0", " \x1c ", "\u3000x y z\t", "\tk: v ")])
+    assert list(kinds) == ["blank", "blank", "blank", "text", "kv"]
+
+
+def test_short_texts(spark):
+    noise, word, kv, long = one(spark, T.is_ui_noise(F.lit("Read more")), T.is_ui_noise(F.lit("singleword")), T.is_short_key_value(F.lit("a: b")), T.is_short_key_value(F.lit("a: " + "b " * 12)))
+    assert noise and word and kv and not long
+    cut, whole, bare = one(spark, T.for_embedding(F.lit("One two. Three four five."), 12), T.for_embedding(F.lit("short")), T.for_embedding(F.lit("no sentence here"), 5))
+    assert (cut, whole, bare) == ("One two.", "short", "no se")
+    assert one(spark, T.clean_artefacts(F.lit("a&nbsp;GLYPHxy b  Privacy Policy ")))[0] == "a b"
+
+
+def test_financial_variants(spark):
+    for text, terms, variants, best in (
+        ("What is the EPS growth?", ["EPS", "growth"], ["What is the EPS growth?", "EPS growth", "EPS"], "EPS growth"),
+        ("tell me about", [], ["tell me about"], "tell me about"),
+        ("p/e", ["P/E"], ["p/e"], "p/e"),
+    ):
+        row = spark.range(1).select(Q.financial_terms(F.lit(text)).alias("t")).select("t", Q.financial_variants(F.lit(text), F.col("t")).alias("v"))
+        got = row.select("t", "v", Q.best_financial_query(F.lit(text), F.col("v")).alias("b")).first()
+        assert (got.t, got.v, got.b) == (terms, variants, best)
+
+
+def test_contents_places_in_order():
+    page = "<div class='contents'><a href='#z'>Z</a></div><nav><ul><li><a href='#b'>B</a><ul><li><a href='#c'>C</a></ul></ul></nav><nav class='table-of-contents'><li>only items</li></nav>"
+    assert html_blocks.nav_links(page) == [(0, "only items", "", 1)]
+    assert html_blocks.nav_links(page.replace("table-of-contents", "other")) == [(0, "B", "#b", 1), (1, "C", "#c", 2)]
+    assert html_blocks.nav_links("<nav><a href=x>y</a></nav>") == []

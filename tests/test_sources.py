@@ -30,7 +30,7 @@ def test_parsed_documents(spark):
     assert texts["First text"].page == 4 and texts["First text"].ord == 0 and texts["Other"].page is None
     cells = readers.json_cells(docs)
     matrix = tables.cell_matrix(cells)
-    (chunk,) = tables.table_chunks(matrix, cells.select("table_id", "label").distinct()).collect()
+    (chunk,) = tables.table_chunks(matrix, cells.select("doc_id", "table_id", "label").distinct()).collect()
     assert chunk.text == "Table: Numbers\nYear | Sales\n---\n2024 | $6.11"
     (sample,) = tables.cell_samples(tables.rows_of(matrix)).collect()
     assert sample.cell_samples == ["Year: 2024", "Sales: $6.11"]
@@ -68,3 +68,37 @@ def test_contents_and_sections(spark):
     chunks = spark.createDataFrame([(1, 0, 4, ""), (1, 1, 12, ""), (1, 2, None, "x > Risk")], "doc_id int, chunk_id int, page int, headings_path string")
     assert {r.chunk_id: r.toc_title for r in toc.section_as_of(chunks, found).collect()} == {0: None, 1: "Risk", 2: "Risk"}
     assert [(r.parent, r.children) for r in toc.hierarchy(found).collect()] == [("Risk", []), ("End", [])]
+
+
+def test_tables_of_two_documents_stay_apart(spark):
+    """Two parsed documents whose tables have the same id: the cells and numbers of each are its own."""
+    docs = readers.parsed(spark.createDataFrame([(1, parsed_json()), (2, parsed_json().replace("2024", "1999"))], "doc_id int, content string"))
+    cells = readers.json_cells(docs)
+    matrix = tables.cell_matrix(cells)
+    assert {(r.doc_id, r.text) for r in matrix.filter("row = 1 AND col = 0").collect()} == {(1, "2024"), (2, "1999")}
+    chunks = tables.table_chunks(matrix, cells.select("doc_id", "table_id", "label").distinct()).collect()
+    assert sorted((r.doc_id, r.table_no) for r in chunks) == [(1, 1), (2, 1)]
+
+
+def test_dispatch(spark):
+    from tessera.sources import dispatch
+
+    rows = [
+        ("a", "markdown", "# Head\n\nsome words in a first paragraph of text"), ("b", "html", "<h1>T</h1><p>words of a page</p><table><tr><th>N<th>M<tr><td>5<td>six seven</table>"),
+        ("c", "json", parsed_json()), ("d", "pdf", "x"), ("e", None, "x"), ("f", "markdown", None), ("g", "json", "broken {"),
+    ]
+    chunks, errors = dispatch.chunk_files(spark.createDataFrame(rows, "doc_id string, format string, content string"))
+    found = {(r.doc_id, r.chunk_type) for r in chunks.collect()}
+    assert {("a", "paragraph"), ("b", "table"), ("c", "table")} <= found
+    told = {r.doc_id: r.error for r in errors.collect()}
+    assert told == {"d": "Unsupported format: pdf", "e": "Unsupported format: unknown", "f": "No content", "g": "Not a parsed document"}
+    empty = dispatch.chunk_files(spark.createDataFrame([], "doc_id string, format string, content string"))
+    assert empty[0].count() == 0 and empty[1].count() == 0
+
+
+def test_reports():
+    from tessera.operators import answers, metrics
+
+    text = metrics.report({"files": 2}, [{"format": "html", "files": 1}])
+    assert text.split("\n")[2] == "| files | 2 |" and text.endswith("| html | 1 |")
+    assert answers.flow_diagram("why", [("hop 1", 5)]) == "graph TD\n  s0[Query: why]\n  s1[hop 1: 5 chunks]\n  s0 --> s1"
