@@ -28,6 +28,8 @@ from tessera.llm.wordcodec import Words, byte_letters, chunks, tokenizer_path
 CAPACITY, END = 2048, 0
 #: The share of the volume that rounding leaves to best fit, and the rate at which prices fall.
 TAIL, RATE = 0.08, 0.1
+#: Bytes of each of a worker's two memos: what a task of 16 MB meets, so that its words are encoded once.
+ENCODER_BYTES = 80 << 20
 #: Long pieces, which are harder to place later, cost a little more than their share of a sequence.
 CONVEXITY = 1.05
 #: Pieces of one length that are ranked in one task.
@@ -50,7 +52,7 @@ class Encoder:
         self.words = Words(path)
         del self.words.spec
         self.letters = {b: ord(c) for b, c in enumerate(byte_letters())}
-        self.chunks, self.known = Memo(), Memo()
+        self.chunks, self.known = Memo(ENCODER_BYTES), Memo(ENCODER_BYTES)
 
     def _chunk(self, chunk: str) -> bytes:
         out = []
