@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_path, text_of
+from tessera.llm.common import shared_path, stored, text_of
 
 #: Payload bytes that an archive holds, about, and that a task writes: more than one archive where the table is large.
 ARCHIVE_BYTES, TASK_BYTES = 16 << 20, 512 << 20
@@ -42,7 +42,7 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
 
     ``refers_to`` is null for responses. Null payloads are empty. A row without an id revisits the largest id of its
     payload, if there is any. Rows of the same id and payload are each a response if that id is the largest. Which id
-    that is, is found on ids and digests alone; payloads move once, by id and digest, into as many tasks as the session
+    that is, is found on ids and digests alone, which are worked out and stored first; payloads move once, by id and digest, into as many tasks as the session
     shuffles to, or more where each would write over TASK_BYTES. Other columns aren't looked at.
     """
     spark, payload = pages.sparkSession, text_of(html_col)
@@ -50,10 +50,11 @@ def captures(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", ht
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_sha1(F.col("payload").cast("binary")))
     rows = rows.withColumn("_none", F.col("page_id").isNull()).withColumn("_id", F.coalesce("page_id", F.lit(0)))
     key, what = ["_id", "_none", "payload_digest", "payload_bytes"], ["payload_digest", "payload_bytes"]
-    marks = rows.select("page_id", *key).filter(F.col("payload_bytes") >= min_revisit).distinct()
+    noted, _ = stored(rows.select("page_id", *key), "marks")
+    marks = noted.filter(F.col("payload_bytes") >= min_revisit).distinct()
     latest = marks.groupBy(*what).agg(F.max("page_id").alias("refers_to"))
     revisits = marks.join(latest, what).filter(~F.col("refers_to").eqNullSafe(F.col("page_id"))).select(*key, "refers_to")
-    total, n = pages.select(F.coalesce(F.sum(F.octet_length(payload)), F.lit(0)), F.count(F.lit(1))).first()
+    total, n = noted.select(F.coalesce(F.sum("payload_bytes"), F.lit(0)), F.count(F.lit(1))).first()
     tasks = max(1, min(-(-total // archive_bytes), int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-total // TASK_BYTES))
     found = rows.repartition(tasks, *key).join(revisits.repartition(tasks, *key), key, "left").drop("_id", "_none")
     return found, max(1, n * archive_bytes // max(total, archive_bytes))
