@@ -21,6 +21,8 @@ from tessera.llm.common import crc_remainder, portions, text_of
 
 #: Bounds of the training sample of a language: letters, and documents that they come from, whole up to that.
 TRAIN_CHARS, TRAIN_DOCS = 40_000, 400
+#: Leading bits of a hash that name its range.
+RANGE_BITS = 20
 #: Languages whose automata a worker holds at once; more are taken in turn.
 LANGUAGES = 8
 #: Letters of a lane, and lanes that are parsed side by side.
@@ -206,10 +208,15 @@ def held_out(doc_id: str = "doc_id"):
 
 def samples(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> dict[str, str]:
     """Labelled text of every language, from documents that aren't held out: those of the lowest hashes, whole, until
-    they have TRAIN_CHARS characters or are TRAIN_DOCS."""
+    they have TRAIN_CHARS characters or are TRAIN_DOCS. Hashes are counted by range first, so that only the ranges that
+    hold the lowest TRAIN_DOCS of a language are ordered; sent to all tasks is one range per language."""
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     known = known.filter(~held_out("doc_id") & F.col("lang").isNotNull() & F.rlike("text", F.lit(r"\p{L}")))
     cut = known.select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, 4 * TRAIN_CHARS).alias("text"))
+    by_range = cut.groupBy("lang", F.shiftright("h", 64 - RANGE_BITS).alias("range")).count()
+    reached = F.sum("count").over(Window.partitionBy("lang").orderBy("range")) - F.col("count")
+    last = by_range.withColumn("reached", reached).filter(F.col("reached") < TRAIN_DOCS).groupBy("lang").agg(F.max("range").alias("last"))
+    cut = cut.join(F.broadcast(last), "lang").filter(F.shiftright("h", 64 - RANGE_BITS) <= F.col("last"))
     order = Window.partitionBy("lang").orderBy("h", "text")
     few = cut.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= TRAIN_DOCS)
     size = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.length("text")
