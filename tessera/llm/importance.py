@@ -36,9 +36,10 @@ _EMPTY = zlib.crc32(b"\0no words") % BUCKETS
 
 
 class Grams:
-    """Hashes the n-grams of texts; a word that was seen lately isn't looked at again."""
+    """Hashes the n-grams of texts; a word that was seen lately isn't looked at again, in ``most`` bytes about."""
 
-    def __init__(self) -> None:
+    def __init__(self, most: int = MEMO_BYTES) -> None:
+        self.most = most
         self.memo: dict[bytes, int] = {}  # places in the arrays
         self.n = self.held = 0
         self.core = np.zeros(1024, np.uint64)
@@ -62,8 +63,8 @@ class Grams:
 
     def of(self, texts: list[str | None], first: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """The buckets of the texts' n-grams and the place of the text of each, from ``first``."""
-        if self.held > MEMO_BYTES:
-            self.__init__()
+        if self.held > self.most:
+            self.__init__(self.most)
         words = [(t or "").encode().split() for t in texts]
         sizes = np.array([len(w) for w in words], np.int64)
         known, flat = self.memo.get, list(chain.from_iterable(words))
@@ -91,12 +92,12 @@ def _labelled(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return pick(True).union(pick(False))
 
 
-def count_models(docs: DataFrame, sample: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> tuple[np.ndarray, np.ndarray]:
+def count_models(docs: DataFrame, sample: DataFrame, text_col: str = "text", id_col: str = "doc_id", memo: int = MEMO_BYTES) -> tuple[np.ndarray, np.ndarray]:
     """Counts by bucket over the target (sampled good documents) and over all documents."""
     flagged = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).join(F.broadcast(sample.filter("good")), "doc_id", "left").select(F.coalesce("good", F.lit(False)).alias("good"), "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, target, raw = Grams(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        grams, target, raw = Grams(memo), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             good = np.array(batch.column(0).to_pylist(), bool)
             for first, texts in portions(batch.column(1)):
@@ -121,12 +122,12 @@ def log_ratios(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
     return np.round(np.log(smooth(target) / smooth(raw)) * UNIT).astype(np.int64)
 
 
-def log_weight(ratios: np.ndarray):
+def log_weight(ratios: np.ndarray, memo: int = MEMO_BYTES):
     """A function of a text column: its log importance weight in millionths of a nat."""
 
     @F.arrow_udf("long")
     def weight(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        grams = Grams()
+        grams = Grams(memo)
         for texts in batches:
             out = np.zeros(len(texts), np.int64)
             for first, some in portions(texts):
@@ -176,11 +177,12 @@ def kth_highest(values: DataFrame, k: int) -> int | None:
 class Resampler:
     """Fitted models, and the key from which documents stay (None: all stay, as there is nothing to tell them by).
 
-    ``weights`` are the stored (doc_id, weight, key) of the documents that it was fitted on, at ``path``.
+    ``weights`` are the stored (doc_id, weight, key) of the documents that it was fitted on, at ``path``; ``memo`` is the
+    bytes of words that a worker remembers.
     """
 
-    def __init__(self, ratios: np.ndarray, seed: int, key: int | None, weights: DataFrame | None = None, path: str | None = None) -> None:
-        self.ratios, self.seed, self.key, self.weights, self.path = ratios, seed, key, weights, path
+    def __init__(self, ratios: np.ndarray, seed: int, key: int | None, weights: DataFrame | None = None, path: str | None = None, memo: int = MEMO_BYTES) -> None:
+        self.ratios, self.seed, self.key, self.weights, self.path, self.memo = ratios, seed, key, weights, path, memo
 
     def judged(self) -> DataFrame:
         """(doc_id, weight, key, kept), a row per document of the fit."""
@@ -193,11 +195,11 @@ class Resampler:
         """``docs`` as a struct ``row``, with ``weight`` and ``noise`` (millionths) and ``kept``."""
         row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
         noise = gumbel(docs[id_col].cast("long"), self.seed).alias("noise")
-        out = docs.select(row, log_weight(self.ratios)(text_of(docs[text_col])).alias("weight"), noise)
+        out = docs.select(row, log_weight(self.ratios, self.memo)(text_of(docs[text_col])).alias("weight"), noise)
         return out.withColumn("kept", self._kept(F.col("weight") + F.col("noise")))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", seed: int = 0) -> Resampler:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", seed: int = 0, memo: int = MEMO_BYTES) -> Resampler:
     """Count the models, find the cut on labelled documents, and draw: the k highest of weight plus noise stay.
 
     Rows with equal keys at the k-th place all stay. Without labels of both classes everything stays. Null texts count
@@ -206,8 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     """
     spark = docs.sparkSession
     sample, labelled = stored(_labelled(labels, id_col, label_col), "labelled")
-    ratios = log_ratios(*count_models(docs, sample, text_col, id_col))
-    everything = Resampler(ratios, seed, None).marked(docs, text_col, id_col)
+    ratios = log_ratios(*count_models(docs, sample, text_col, id_col, memo))
+    everything = Resampler(ratios, seed, None, memo=memo).marked(docs, text_col, id_col)
     doc_id = F.col("row").getField(id_col).cast("long").alias("doc_id")
     weights, path = stored(everything.select(doc_id, "weight", (F.col("weight") + F.col("noise")).alias("key")), "weights")
     told = weights.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "good").agg(F.min("weight").alias("weight"))
@@ -215,14 +217,14 @@ def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str
     forget(spark, labelled)
     cut = best_cut(told.weight[told.good].to_numpy(), told.weight[~told.good].to_numpy()) if len(told) else None
     if cut is None:
-        return Resampler(ratios, seed, None, weights, path)
+        return Resampler(ratios, seed, None, weights, path, memo)
     k = weights.filter(F.col("weight") >= cut).count()
     at = kth_highest(weights, k)
-    return Resampler(ratios, seed, at if at is not None else (1 << 62), weights, path)
+    return Resampler(ratios, seed, at if at is not None else (1 << 62), weights, path, memo)
 
 
-def resample(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", seed: int = 0) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", seed: int = 0, memo: int = MEMO_BYTES) -> DataFrame:
     """The rows of ``docs`` that are drawn, with their own columns only; rows as in :func:`fit`."""
-    fitted = fit(docs, labels, text_col, id_col, label_col, seed)
+    fitted = fit(docs, labels, text_col, id_col, label_col, seed, memo)
     forget(docs.sparkSession, fitted.path)
     return fitted.marked(docs, text_col, id_col).filter("kept").select("row.*")

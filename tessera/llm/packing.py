@@ -42,7 +42,7 @@ class Encoder:
     Its model encodes a word once; chunks and words that were seen lately are looked up.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memo: int = ENCODER_BYTES) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -52,7 +52,7 @@ class Encoder:
         self.words = Words(path)
         del self.words.spec
         self.letters = {b: ord(c) for b, c in enumerate(byte_letters())}
-        self.chunks, self.known = Memo(ENCODER_BYTES), Memo(ENCODER_BYTES)
+        self.chunks, self.known = Memo(memo), Memo(memo)
 
     def _chunk(self, chunk: str) -> bytes:
         out = []
@@ -78,13 +78,13 @@ class Encoder:
         return b"".join(out)
 
 
-def pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, path: str | None = None, memo: int = ENCODER_BYTES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and one END, cut at ``capacity``; null texts are empty."""
     names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32"], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
     path = path or tokenizer_path()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = Encoder(path, memo)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -220,13 +220,13 @@ def places(groups: list[tuple[tuple[tuple[int, int], ...], int]]) -> dict[str, n
     return dict(zip(("length", "first", "base", "times", "offset"), table.T, strict=True))
 
 
-def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, path: str | None = None, memo: int = ENCODER_BYTES) -> DataFrame:
     """Pieces of ``docs`` with ``sequence_id`` and ``offset``; every sequence is filled from 0 without gaps.
 
     Repeated rows are packed as often as they come; ids may be null; an empty table gives no pieces; columns other than
-    id and text aren't looked at.
+    id and text aren't looked at. ``memo`` bytes bound what each of a worker's two memos holds, and nothing else.
     """
-    cut, _ = stored(pieces(docs, text_col, id_col, capacity, path), "pieces")
+    cut, _ = stored(pieces(docs, text_col, id_col, capacity, path, memo), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # a row for each length
     at = places(plan(histogram, capacity))
     salts = -(-max([*histogram.values(), 1]) // RANKED)
