@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import importance, packing, rules, simhash
 from tessera.llm.common import forget, stored
 
+#: Bytes of a worker's memos. Stages share their workers, which keep what each took, so memos are smaller than in a lone query.
+MEMO_BYTES = 16 << 20
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling draws; the labels come with the tables."""
-    return importance.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return importance.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), memo=MEMO_BYTES)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences."""
-    return packing.pack(docs)
+    return packing.pack(docs, memo=MEMO_BYTES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
