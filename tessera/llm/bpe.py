@@ -20,6 +20,8 @@ from tessera.llm.common import Memo, portions, text_of
 from tessera.llm.wordcodec import Words, byte_letters, chunks, tokenizer_path
 
 _NONE = 1 << 62
+#: Bytes of each of a worker's two memos: what a task of 16 MB meets, so that its words are merged once.
+CODER_BYTES = 80 << 20
 
 
 class SegmentTree:
@@ -71,7 +73,7 @@ class Codec:
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[vocab[a], vocab[b]] = rank
             self.made.append(vocab[a + b])
-        self.memo = Memo()
+        self.memo = Memo(CODER_BYTES)
 
     def word(self, word: str) -> tuple[int, ...]:
         """The ids of one word."""
@@ -128,7 +130,7 @@ class Batches:
 
     def __init__(self, path: str) -> None:
         self.codec = Codec(path)
-        self.memo = Memo()
+        self.memo = Memo(CODER_BYTES)
 
     def ids(self, text: str) -> bytes:
         if self.codec.cut and self.codec.cut.search(text):
