@@ -109,6 +109,27 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of all conversations, rebuilt to share heads by hundreds."""
+    from tessera.llm import tries
+
+    return tries.trie(tries.regrafted(tries.marked(table(spark, sf_dir, "conversations")))).drop("node")
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and their likeness."""
+    from tessera.llm import imatch
+
+    return imatch.compared(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code, its error, and its label's."""
+    from tessera.llm import codes
+
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
 OP10_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
@@ -163,6 +184,81 @@ SELECT policy, rule, count(*) AS documents, CAST(count_if((failures & mask) <> 0
        CAST(count_if((failures & mask) = bit) AS BIGINT) AS only_by_this FROM f, c GROUP BY policy, rule
 """
 
+OP11_SQL = """
+WITH RECURSIVE crc(byte, k, c) AS (
+  SELECT range, 0, range FROM range(256) UNION ALL
+  SELECT byte, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc WHERE k < 8
+), crcs AS (
+  SELECT list(c ORDER BY byte) AS t FROM crc WHERE k = 8
+), marked AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(CAST(octet_length(encode(coalesce(role, ''))) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place,
+         struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS said
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT conv_id, conv_id - ((conv_id % 100) + 100) % 100 AS first,
+         xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+                         lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM marked), crcs
+), turns AS (
+  SELECT i.conv_id, m.place, m.said FROM ids i JOIN marked m ON m.conv_id = i.first AND m.place <= i.h UNION ALL
+  SELECT i.conv_id, m.place, m.said FROM ids i JOIN marked m ON m.conv_id = i.conv_id AND m.place > i.h
+), convs AS (
+  SELECT i.conv_id, coalesce(list(said ORDER BY place) FILTER (place IS NOT NULL), []) AS turns FROM ids i LEFT JOIN turns t ON t.conv_id = i.conv_id GROUP BY i.conv_id
+), prefixes AS (
+  SELECT conv_id, d AS depth, turns[1:d] AS node, turns[1:d - 1] AS parent, len(turns) = d AS last, CASE WHEN d > 0 THEN length(turns[d].text) ELSE 0 END AS n_chars
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM convs)
+), nodes AS (
+  SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n_chars) AS n_chars, bool_and(last) AS leaf,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM prefixes GROUP BY node, depth
+), children AS (
+  SELECT parent, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY parent
+), sums AS (
+  SELECT p.node, p.depth, sum((n.n_convs - 1) * n.n_chars) AS saved_tokens, count_if(n.leaf) AS n_leaves
+  FROM nodes n JOIN prefixes p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.node, p.depth
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0)::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.node = n.node AND s.depth = n.depth LEFT JOIN children c ON c.parent = n.node
+  LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.node = n.parent
+"""
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """SQL of the vector codes: a round is a nearest entry for each part, and a mean for each entry that is used."""
+    near = """n{k} AS MATERIALIZED (
+  SELECT rid, part, arg_min(entry, d * 1000 + entry) AS entry, min(d) AS d FROM (
+    SELECT p.rid, p.part, b.entry, list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM parts p JOIN b{k} b ON b.part = p.part) GROUP BY rid, part
+)"""
+    move = """b{next} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN (
+    SELECT part, entry, list((s - ((s % c) + c) % c) // c ORDER BY place) AS x FROM (
+      SELECT n.part, n.entry, place, sum(p.x[place])::BIGINT AS s, count(*) AS c FROM n{k} n JOIN parts p ON p.rid = n.rid AND p.part = n.part, range(1, (SELECT len(any_value(x)) + 1 FROM parts)) r(place)
+      GROUP BY n.part, n.entry, place) GROUP BY part, entry) m ON m.part = b.part AND m.entry = b.entry
+)"""
+    steps = [near.format(k=0)]
+    for k in range(rounds):
+        steps += [move.format(k=k, next=k + 1), near.format(k=k + 1)]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT rid, vec_id, part, v[part * (len(v) // {parts}) + 1:(part + 1) * (len(v) // {parts})] AS x FROM kept, range({parts}) r(part)
+), seeds AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM (SELECT DISTINCT vec_id FROM kept WHERE vec_id IS NOT NULL ORDER BY vec_id LIMIT {entries})
+), b0 AS MATERIALIZED (
+  SELECT part, entry, min(x) AS x FROM parts JOIN seeds ON seeds.vec_id = parts.vec_id GROUP BY part, entry
+), {", ".join(steps)}, books AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds}
+), coded AS (
+  SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM n{rounds} GROUP BY rid
+)
+SELECT k.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::BIGINT AS label_error, codebooks_sha256 FROM kept k JOIN coded c ON c.rid = k.rid, books
+"""
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
@@ -177,9 +273,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_warc": op10_warc,
+    "op11_conversation_trie": op11_conversation_trie,
+    "op12_document_fingerprints": op12_document_fingerprints,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLES: dict[str, str] = {
     "op7_quality_rules": OP7_SQL,
     "rules_ablation": ABLATION_SQL,
     "op10_warc": OP10_SQL,
+    "op11_conversation_trie": OP11_SQL,
+    "op13_vector_codes": _codes_sql(),
 }
