@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from tessera.llm.common import spread_join, stored
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
-#: Integer components are held within these bounds, so that squared distances and their order fit in 64 bits.
-MOST = 1 << 26
+#: Integer components are held within these bounds (65,536 before scaling), so that squared distances and their order fit
+#: in 64 bits while entries times a part's width is 8,192 at most.
+MOST = 1 << 24
 #: Rows of a batch that are compared with a codebook at once.
 ROWS = 4096
 
@@ -184,6 +185,8 @@ def encode(vectors: DataFrame, books: Codebooks, id_col: str = "vec_id", vector:
 def compressed(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(vec_id, code, error, label_error, codebooks_sha256): codes by codebooks fitted on all vectors, a row per row kept.
 
+    Null vectors and those with a null or non-finite component are dropped; larger components than MOST count as MOST.
+
     ``label_error`` is the error summed over equal labels, null labels together. Without any vector there are no rows. Ids
     that repeat are coded each for itself. Labels that very many rows share are sent to the rows and not met in one task.
     """
