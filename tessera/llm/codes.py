@@ -97,7 +97,7 @@ def _assigned(whole: np.ndarray, books: Codebooks, bounds: list[Bounds]) -> tupl
     """Codes and squared distances, a column per part."""
     codes = np.zeros((len(whole), len(books.entries)), np.int64)
     errors = np.zeros_like(codes)
-    cut = whole.reshape(len(whole), len(books.entries), -1)
+    cut = whole.reshape(len(whole), len(books.entries), books.entries.shape[2])
     for at in range(0, len(whole), ROWS):
         for part, entries in enumerate(books.entries):
             some = slice(at, at + ROWS)
