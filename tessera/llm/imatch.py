@@ -19,10 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import portions, text_of
+from tessera.llm.common import PORTION, portions, text_of
 
 #: The band, as shares of all documents, and the least documents of a term.
 RARE, COMMON, LEAST = 1 / 1000, 1 / 20, 2
@@ -161,11 +162,12 @@ def edited(text: str, after: str) -> str:
 
 
 def neighbours(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(chunk, tail, doc_id, text), sorted within partitions: chunks of documents of adjacent ids, whole in one partition.
+    """(chunk, tail, doc_id, tie, packed), sorted within partitions: chunks of documents of adjacent ids, whole in one
+    partition; texts are packed by zstd, as they are shuffled once.
 
     Each chunk ends with tail rows, copies of the documents of the next chunk's first id; the last chunk's are those of the
     first. Bounds between chunks come from a sample of ids, which decides cost only. Null ids come first, texts of an id
-    that repeats are ordered by themselves. Texts are shuffled once.
+    that repeats are ordered by ``tie``, half their XXH64.
     """
     ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     n = ids.count()
@@ -173,34 +175,38 @@ def neighbours(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id")
     sample = sorted(r[0] for r in ids.filter("doc_id IS NOT NULL").sample(min(1.0, SAMPLED * wanted / max(n, 1)), seed=SEED).collect())  # SAMPLED x CHUNKS, about
     bounds = np.array(sorted(set(sample[:: max(1, len(sample) // wanted)][1:])), np.int64)
 
-    @F.arrow_udf("int")
-    def chunk_of(values: pa.Array) -> pa.Array:
+    def chunk_of(values: pa.Array) -> np.ndarray:
         found = np.searchsorted(bounds, values.fill_null(0).to_numpy(zero_copy_only=False), side="right") + 1
-        return pa.array(np.where(values.is_null().to_numpy(zero_copy_only=False), 0, found).astype(np.int32))
+        return np.where(values.is_null().to_numpy(zero_copy_only=False), 0, found).astype(np.int32)
+
+    @F.arrow_udf("int")
+    def chunk_udf(values: pa.Array) -> pa.Array:
+        return pa.array(chunk_of(values))
 
     first = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id")))
-    heads = sorted((r["chunk"], r["f"]["doc_id"] if r["f"] else None) for r in ids.select("doc_id", chunk_of("doc_id").alias("chunk")).groupBy("chunk").agg(first.alias("f")).collect())
-    before = [heads[k - 1][0] for k in range(len(heads))]  # the first chunk's head follows the last chunk
-    known = {head: chunk for (_, head), chunk in zip(heads, before, strict=True)}
-    starts = np.array(sorted(h for h in known if h is not None), np.int64)
-    targets = np.array([known[h] for h in starts.tolist()], np.int32)
-    of_null = known.get(None, -1)
+    heads = sorted((r["chunk"], r["f"]["doc_id"] if r["f"] else None) for r in ids.select("doc_id", chunk_udf("doc_id").alias("chunk")).groupBy("chunk").agg(first.alias("f")).collect())
+    # A head's copies end the chunk before; the first chunk's follow the last chunk.
+    ends_of = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}
 
-    @F.arrow_udf("int")
-    def copied_to(values: pa.Array) -> pa.Array:
-        null = values.is_null().to_numpy(zero_copy_only=False)
-        if not len(starts):
-            return pa.array(np.where(null, of_null, -1).astype(np.int32))
-        plain = values.fill_null(0).to_numpy(zero_copy_only=False)
-        at = np.minimum(np.searchsorted(starts, plain), len(starts) - 1)
-        found = np.where(starts[at] == plain, targets[at], -1)
-        return pa.array(np.where(null, of_null, found).astype(np.int32))
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).withColumns({"own": chunk_of("doc_id"), "copy": copied_to("doc_id")})
-    place = lambda chunk, tail: F.struct(F.col(chunk).alias("chunk"), F.lit(tail).alias("tail"))
-    both = F.when(F.col("copy") >= 0, F.array(place("own", False), place("copy", True))).otherwise(F.array(place("own", False)))
-    dealt = rows.select("doc_id", "text", F.explode(both).alias("p")).select("p.chunk", "p.tail", "doc_id", "text")
-    return dealt.repartition("chunk").sortWithinPartitions("chunk", "tail", F.asc_nulls_first("doc_id"), "text")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            chunks = chunk_of(batch.column(0))
+            for at, texts in portions(batch.column(1)):
+                out: list[tuple] = []
+                ids_ = batch.column(0).slice(at, len(texts)).to_pylist()
+                for chunk, doc_id, text in zip(chunks[at : at + len(texts)].tolist(), ids_, texts, strict=True):
+                    raw = text.encode()
+                    row = (doc_id, xxhash.xxh64_intdigest(raw, SEED) >> 1, packer.compress(raw))
+                    out.append((chunk, False, *row))
+                    if doc_id in ends_of:
+                        out.append((ends_of[doc_id], True, *row))
+                kinds = (pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["chunk", "tail", "doc_id", "tie", "packed"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    dealt = rows.mapInArrow(run, "chunk int, tail boolean, doc_id long, tie long, packed binary")
+    return dealt.repartition("chunk").sortWithinPartitions("chunk", "tail", F.asc_nulls_first("doc_id"), "tie")
 
 
 def compared(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -209,28 +215,29 @@ def compared(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     A row's text is compared with itself edited, that is with its last half replaced by the start of the next document's
     text, and with the next document; the last one's next is the first. Null texts are empty. Fingerprints depend on the
     text and the corpus alone, so equal texts have equal ones. A single document is its own next. Rows of the same id
-    follow one another by text.
+    follow one another by their texts' XXH64 (seed 42, without its lowest bit).
     """
     sent = docs.sparkSession.sparkContext.broadcast(lexicon(docs, text_col))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        printer, last = Printer(sent.value), None
+        printer, unpacker, last = Printer(sent.value), zstandard.ZstdDecompressor(), None
         for batch in batches:
-            for at, texts in portions(batch.column(3)):
+            for at, packed in portions(batch.column(4), PORTION // 4):
                 out = []
-                chunks, tails, ids = (batch.column(k).slice(at, len(texts)).to_pylist() for k in range(3))
-                for chunk, tail, doc_id, text in zip(chunks, tails, ids, texts, strict=True):
+                tails, ids = (batch.column(k).slice(at, len(packed)).to_pylist() for k in (1, 2))
+                for tail, doc_id, raw in zip(tails, ids, packed, strict=True):
                     if tail and last is None:
                         continue
-                    mine = last[3] if last and last[2] == text else printer.of(text)
+                    text = unpacker.decompress(raw).decode()
+                    mine = last[2] if last and last[1] == text else printer.of(text)
                     if last:
-                        other = edited(last[2], text)
-                        theirs = last[3] if other == last[2] else printer.of(other)
+                        other = edited(last[1], text)
+                        theirs = last[2] if other == last[1] else printer.of(other)
                         digest = hashlib.sha256(other.encode()).hexdigest()
-                        out.append((last[1], len(last[2]), digest, str(last[3]), str(theirs), last[3].likeness(theirs), last[3].likeness(mine)))
-                    last = None if tail else (chunk, doc_id, text, mine)
+                        out.append((last[0], len(last[1]), digest, str(last[2]), str(theirs), last[2].likeness(theirs), last[2].likeness(mine)))
+                    last = None if tail else (doc_id, text, mine)
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
