@@ -43,47 +43,68 @@ def top_k(collection: DataFrame, query: list[float], k: int, filters: list[str]
     return wanted.filter("score IS NOT NULL").drop(vector).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def top_k_each(collection: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", id_col: str = "vec_id", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
-    """(query_id, id, score, rank): the k rows nearest to each query by cosine, ties to the smaller id; rank from 1.
-
-    Queries go to all tasks, MAX_QUERIES at a time, as one matrix; an Arrow batch of the collection is multiplied with it
-    and sends on its k best of each query. Ids are longs; zero vectors are nobody's neighbours. Scores are compared to
-    twelve decimals.
-    """
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; those of zero vectors are NaN."""
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 0)
+
+
+def matrix(ids: pa.Array, vectors: pa.Array, dim: int) -> np.ndarray:
+    """An Arrow column of vectors as a matrix; a vector of another size than ``dim`` is an error that names its id."""
+    sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    if (sizes != dim).any():
+        at = int(np.flatnonzero(sizes != dim)[0])
+        raise ValueError(f"the vector of {ids[at].as_py()} has {sizes[at]} numbers, not {dim}")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), dim)
+
+
+def best_of(names: np.ndarray, wanted: np.ndarray, keys: np.ndarray, rows: np.ndarray, k: int, query_id: str, id_col: str) -> Iterator[pa.RecordBatch]:
+    """Of a batch of unit ``rows`` the k best for each of the queries ``names`` with unit vectors ``wanted``."""
+    for at in range(0, len(names), 256):
+        scores = np.round(wanted[at : at + 256] @ rows.T, 12)
+        scores[np.isnan(scores)] = -np.inf
+        order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :k]
+        value = np.take_along_axis(scores, order, 1)
+        ok = value > -np.inf
+        owner = np.repeat(names[at : at + 256], order.shape[1]).reshape(order.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(owner[ok]), pa.array(keys[order][ok]), pa.array(value[ok])], [query_id, id_col, "score"])
+
+
+def by_blocks(queries: DataFrame, query_id: str, query_vector: str, dim: int | None, block: Callable[[list[int], np.ndarray], DataFrame], k: int, id_col: str) -> DataFrame:
+    """Ranks what ``block`` finds for the queries, MAX_QUERIES of them at a time: the k best of each, ties to the smaller id."""
     blocks = max(1, -(-queries.count() // MAX_QUERIES))
     found = None
     for b in range(blocks):
-        some = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b).select(query_id, query_vector).collect()  # MAX_QUERIES, about
-        best = _block_top_k(collection.select(F.col(id_col).cast("long"), vector), [r[0] for r in some], [r[1] for r in some], k, id_col, query_id)
+        some = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b).select(F.col(query_id).cast("long"), query_vector).dropna().collect()  # MAX_QUERIES, about
+        vectors = pa.array([r[1] for r in some], pa.list_(pa.float64()))
+        wanted = unit(matrix(pa.array([r[0] for r in some], pa.int64()), vectors, dim or (len(some[0][1]) if some else 1)))
+        best = block([r[0] for r in some], wanted)
         found = best if found is None else found.unionByName(best)
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _block_top_k(collection: DataFrame, ids: list[int], of_queries: list[list[float]], k: int, id_col: str, query_id: str) -> DataFrame:
-    def unit(x: np.ndarray) -> np.ndarray:
-        norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-        return np.divide(x, norm, out=np.full_like(x, np.nan), where=norm > 0)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, names = unit(np.array(of_queries, np.float64)), np.array(ids, np.int64)
-        for batch in batches:
-            vectors = batch.column(1)
-            flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            rows, keys = unit(flat.reshape(len(vectors), -1)), np.asarray(batch.column(0))
-            for at in range(0, len(names), 256):
-                scores = np.round(wanted[at : at + 256] @ rows.T, 12)
-                scores[np.isnan(scores)] = -np.inf
-                order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :k]
-                value = np.take_along_axis(scores, order, 1)
-                ok = value > -np.inf
-                owner = np.repeat(names[at : at + 256], order.shape[1]).reshape(order.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(owner[ok]), pa.array(keys[order][ok]), pa.array(value[ok])], [query_id, id_col, "score"])
-
-    if not ids:
-        return collection.sparkSession.createDataFrame([], f"{query_id} long, {id_col} long, score double")
-    whole = collection.filter(F.col(collection.columns[1]).isNotNull() & F.col(collection.columns[0]).isNotNull())
-    return whole.mapInArrow(run, f"{query_id} long, {id_col} long, score double")
+def top_k_each(collection: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", id_col: str = "vec_id", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
+    """(query_id, id, score, rank): the k rows nearest to each query by cosine, ties to the smaller id; rank from 1.
+
+    Queries go to all tasks, MAX_QUERIES at a time, as one matrix; an Arrow batch of the collection is multiplied with it
+    and sends on its k best of each query. Ids are longs, those of queries too; rows and queries without an id or a vector
+    count for nothing; zero vectors are nobody's neighbours; a vector of another size is an error that names its id. Scores
+    are compared to twelve decimals.
+    """
+    rows = collection.select(F.col(id_col).cast("long").alias(id_col), vector).dropna()
+
+    def block(ids: list[int], wanted: np.ndarray) -> DataFrame:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = np.array(ids, np.int64)
+            for batch in batches:
+                mine = unit(matrix(batch.column(0), batch.column(1), wanted.shape[1]))
+                yield from best_of(names, wanted, np.asarray(batch.column(0)), mine, k, query_id, id_col)
+
+        schema = f"{query_id} long, {id_col} long, score double"
+        return rows.mapInArrow(run, schema) if ids else rows.sparkSession.createDataFrame([], schema)
+
+    return by_blocks(queries, query_id, query_vector, None, block, k, id_col)
 
 
 def dedupe_best(hits: DataFrame, id_col: str = "id") -> DataFrame:

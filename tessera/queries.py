@@ -601,4 +601,4 @@ def _(spark, sf_dir):
     return ingest.sessions(table(spark, sf_dir, "events")).select("user_id", "n")
 
 
-from tessera import queries_answers  # noqa: E402, F401  (registers its queries)
+from tessera import queries_answers, queries_scale  # noqa: E402, F401  (they register their queries)
