@@ -76,9 +76,10 @@ class IvfIndex:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place.astype(np.int32))], [id_col, vector, "list"])
 
         placed = rows.mapInArrow(run, f"{id_col} long, {vector} {kind}, list int")
-        placed.hint("rebalance", "list").write.mode("errorifexists").partitionBy("list").parquet(f"{path}/rows")
+        writer = placed.hint("rebalance", "list").write.mode("errorifexists")
+        (writer.partitionBy("list") if n else writer).parquet(f"{path}/rows")
         index = cls(spark, path, id_col, vector)
-        probes = index._measured(centres, n, target)
+        probes = index._measured(centres, n, target) if len(centres) else 0
         spark.createDataFrame([(k, c.tolist(), probes) for k, c in enumerate(centres)], "list int, centre array<double>, probes int").coalesce(1).write.parquet(f"{path}/centres")
         return index
 
