@@ -109,7 +109,7 @@ class IvfIndex:
         centres, measured = self._centres()
         id_col, probes = self.id_col, max(1, min(len(centres), probes or measured))
 
-        def block(ids: list[int], wanted: np.ndarray) -> DataFrame:
+        def block(ids: list[int], wanted: np.ndarray, _: list[list[str]]) -> DataFrame:
             ok = ~np.isnan(wanted).any(axis=1)
             near = np.argsort(-(wanted[ok] @ centres.T), axis=1, kind="stable")[:, :probes]
             askers: dict[int, np.ndarray] = {int(at): np.flatnonzero(ok)[(near == at).any(axis=1)] for at in np.unique(near)}

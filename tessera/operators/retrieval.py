@@ -19,6 +19,10 @@ from tessera.functions.text import contains_any
 MAX_QUERIES = 10_000
 
 
+def _containing(part: str) -> Callable[[Column], Column]:
+    return lambda y: y.contains(part)
+
+
 def compile_filters(df: DataFrame, filters: list[str]) -> Column:
     """"field:value" entries, all of which must hold. ``*`` is any value, ``*x*`` a substring; an array matches by any
     of its elements. Entries without a colon are ignored."""
@@ -29,7 +33,7 @@ def compile_filters(df: DataFrame, filters: list[str]) -> Column:
             tests.append(F.size(c) > 0 if listed else c.isNotNull())
         elif len(value) > 2 and value[0] == value[-1] == "*":
             part = value[1:-1]
-            tests.append(F.exists(c, lambda y, part=part: y.contains(part)) if listed else c.contains(part))
+            tests.append(F.exists(c, _containing(part)) if listed else c.contains(part))
         else:
             tests.append(F.array_contains(c, value) if listed else c.cast("string") == value)
     return reduce(lambda a, b: a & b, tests, F.lit(True))
@@ -58,11 +62,16 @@ def matrix(ids: pa.Array, vectors: pa.Array, dim: int) -> np.ndarray:
     return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), dim)
 
 
-def best_of(names: np.ndarray, wanted: np.ndarray, keys: np.ndarray, rows: np.ndarray, k: int, query_id: str, id_col: str) -> Iterator[pa.RecordBatch]:
-    """Of a batch of unit ``rows`` the k best for each of the queries ``names`` with unit vectors ``wanted``."""
+def best_of(
+    names: np.ndarray, wanted: np.ndarray, keys: np.ndarray, rows: np.ndarray, k: int, query_id: str, id_col: str, needs: np.ndarray | None = None, lacks: np.ndarray | None = None
+) -> Iterator[pa.RecordBatch]:
+    """Of a batch of unit ``rows`` the k best for each of the queries ``names`` with unit vectors ``wanted``; ``needs`` has a
+    column for each feature that a query asks for, and ``lacks`` one that tells the rows without it."""
     for at in range(0, len(names), 256):
         scores = np.round(wanted[at : at + 256] @ rows.T, 12)
         scores[np.isnan(scores)] = -np.inf
+        if needs is not None:
+            scores[needs[at : at + 256] @ lacks.T > 0] = -np.inf
         order = np.lexsort((np.broadcast_to(keys, scores.shape), -scores), axis=1)[:, :k]
         value = np.take_along_axis(scores, order, 1)
         ok = value > -np.inf
@@ -70,41 +79,65 @@ def best_of(names: np.ndarray, wanted: np.ndarray, keys: np.ndarray, rows: np.nd
         yield pa.RecordBatch.from_arrays([pa.array(owner[ok]), pa.array(keys[order][ok]), pa.array(value[ok])], [query_id, id_col, "score"])
 
 
-def by_blocks(queries: DataFrame, query_id: str, query_vector: str, dim: int | None, block: Callable[[list[int], np.ndarray], DataFrame], k: int, id_col: str) -> DataFrame:
-    """Ranks what ``block`` finds for the queries, MAX_QUERIES of them at a time: the k best of each, ties to the smaller id."""
+def by_blocks(
+    queries: DataFrame, query_id: str, query_vector: str, dim: int | None, block: Callable[[list[int], np.ndarray, list[list[str]]], DataFrame], k: int, id_col: str, needs: str | None = None
+) -> DataFrame:
+    """Ranks what ``block`` finds for the queries, MAX_QUERIES of them at a time: the k best of each, ties to the smaller id.
+    ``block`` takes their ids, unit vectors, and what each needs."""
     blocks = max(1, -(-queries.count() // MAX_QUERIES))
     found = None
     for b in range(blocks):
-        some = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b).select(F.col(query_id).cast("long"), query_vector).dropna().collect()  # MAX_QUERIES, about
+        wants = F.coalesce(F.col(needs), F.array().cast("array<string>")) if needs else F.array().cast("array<string>")
+        mine = queries.filter(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == b)
+        some = mine.select(F.col(query_id).cast("long"), query_vector, wants.alias("_needs")).dropna().collect()  # MAX_QUERIES, about
         vectors = pa.array([r[1] for r in some], pa.list_(pa.float64()))
         wanted = unit(matrix(pa.array([r[0] for r in some], pa.int64()), vectors, dim or (len(some[0][1]) if some else 1)))
-        best = block([r[0] for r in some], wanted)
+        best = block([r[0] for r in some], wanted, [r[2] for r in some])
         found = best if found is None else found.unionByName(best)
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), id_col))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def top_k_each(collection: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", id_col: str = "vec_id", query_id: str = "query_id", query_vector: str = "query_vector") -> DataFrame:
+def top_k_each(
+    collection: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", id_col: str = "vec_id", query_id: str = "query_id", query_vector: str = "query_vector",
+    features: Column | None = None, needs: str | None = None,
+) -> DataFrame:
     """(query_id, id, score, rank): the k rows nearest to each query by cosine, ties to the smaller id; rank from 1.
 
     Queries go to all tasks, MAX_QUERIES at a time, as one matrix; an Arrow batch of the collection is multiplied with it
     and sends on its k best of each query. Ids are longs, those of queries too; rows and queries without an id or a vector
     count for nothing; zero vectors are nobody's neighbours; a vector of another size is an error that names its id. Scores
     are compared to twelve decimals.
+
+    Where ``needs`` names the queries' arrays of strings, a row counts for a query only if its ``features``, an array of
+    strings too, hold all that the query needs.
     """
-    rows = collection.select(F.col(id_col).cast("long").alias(id_col), vector).dropna()
+    nothing = F.array().cast("array<string>")
+    traits = F.coalesce(features, nothing) if needs else nothing
+    rows = collection.select(F.col(id_col).cast("long").alias(id_col), vector, traits.alias("_traits")).dropna()
+
+    def block(ids: list[int], wanted: np.ndarray, asked: list[list[str]]) -> DataFrame:
+        place = {trait: n for n, trait in enumerate(sorted({t for some in asked for t in some}))}
+        need = np.zeros((len(ids), len(place)), np.float32)
+        for n, some in enumerate(asked):
+            need[n, [place[t] for t in some]] = 1
 
-    def block(ids: list[int], wanted: np.ndarray) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = np.array(ids, np.int64)
             for batch in batches:
                 mine = unit(matrix(batch.column(0), batch.column(1), wanted.shape[1]))
-                yield from best_of(names, wanted, np.asarray(batch.column(0)), mine, k, query_id, id_col)
+                if not place:
+                    yield from best_of(names, wanted, np.asarray(batch.column(0)), mine, k, query_id, id_col)
+                    continue
+                lacks = np.ones((len(mine), len(place)), np.float32)
+                for n, some in enumerate(batch.column(2).to_pylist()):
+                    lacks[n, [place[t] for t in some if t in place]] = 0
+                yield from best_of(names, wanted, np.asarray(batch.column(0)), mine, k, query_id, id_col, need, lacks)
 
         schema = f"{query_id} long, {id_col} long, score double"
         return rows.mapInArrow(run, schema) if ids else rows.sparkSession.createDataFrame([], schema)
 
-    return by_blocks(queries, query_id, query_vector, None, block, k, id_col)
+    return by_blocks(queries, query_id, query_vector, None, block, k, id_col, needs)
 
 
 def dedupe_best(hits: DataFrame, id_col: str = "id") -> DataFrame:
@@ -141,41 +174,49 @@ def rebalance(hits: DataFrame, target: str, k: int, text: str = "text") -> DataF
     return found.orderBy("_place", F.desc("score"), "ord").limit(k).drop("_place")
 
 
-def _any_contains(values: Column, part: str) -> Column:
-    return F.exists(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.lower(x).contains(part.lower()))
+def _strings(values: list[str] | Column | None) -> Column | None:
+    """A list as an array column, None if there is nothing in it; columns as they are, null as empty."""
+    if isinstance(values, Column):
+        return F.coalesce(values, F.array().cast("array<string>"))
+    return F.array(*map(F.lit, values)) if values else None
 
 
-def boost_alignment(hits: DataFrame, signals: dict[str, list[str]]) -> DataFrame:
-    """boosted_score: the score times a factor for each period, unit, reference and table that fits the query's."""
+def boost_alignment(hits: DataFrame, signals: dict[str, list[str] | Column]) -> DataFrame:
+    """boosted_score: the score times a factor for each period, unit, reference and table that fits the query's. The query's
+    signals are lists, or array columns of the hits where each hit has a query of its own."""
     factor = F.lit(1.0)
-    for period in signals.get("periods", []):
-        factor = factor * F.when(_any_contains(F.col("mentioned_dates"), period), 1.5).otherwise(1.0) * F.when(_any_contains(F.col("periods"), period), 1.4).otherwise(1.0)
-    if wanted := signals.get("units"):
-        factor = factor * F.when(F.arrays_overlap("units", F.array(*map(F.lit, wanted))), 1.3).otherwise(1.0)
-    if refs := signals.get("table_refs"):
-        factor = factor * F.when(contains_any(F.lower(F.concat_ws(" ", "doc_refs")), [r.lower() for r in refs]), 1.6).otherwise(1.0)
+    if (wanted := _strings(signals.get("periods"))) is not None:
+        fits = lambda values, p: F.exists(F.coalesce(values, F.array().cast("array<string>")), lambda x: F.lower(x).contains(F.lower(p)))
+        one = lambda s, p: s * F.when(fits(F.col("mentioned_dates"), p), 1.5).otherwise(1.0) * F.when(fits(F.col("periods"), p), 1.4).otherwise(1.0)
+        factor = F.aggregate(wanted, factor, one)
+    if (wanted := _strings(signals.get("units"))) is not None:
+        factor = factor * F.when(F.arrays_overlap("units", wanted), 1.3).otherwise(1.0)
+    if (wanted := _strings(signals.get("table_refs"))) is not None:
+        named = F.lower(F.concat_ws(" ", "doc_refs"))
+        factor = factor * F.when(F.exists(wanted, lambda r: named.contains(F.lower(r))), 1.6).otherwise(1.0)
     factor = factor * F.when(F.col("chunk_type") == "table", 1.4).otherwise(1.0)
     return hits.withColumn("boosted_score", F.col("score") * factor)
 
 
-def boost_numeric(hits: DataFrame, metrics: list[str], periods: list[str]) -> DataFrame:
+def boost_numeric(hits: DataFrame, metrics: list[str] | Column, periods: list[str] | Column) -> DataFrame:
     """final_boost_score: for tables, tables with samples, metrics in common and periods in the dates."""
     base = F.coalesce("boosted_score", "score") if "boosted_score" in hits.columns else F.col("score")
     table = F.col("chunk_type") == "table"
     out = base * F.when(table, 1.5).otherwise(1.0) * F.when(table & (F.size("cell_samples") > 0), 1.2).otherwise(1.0)
-    if metrics:
-        out = out * F.pow(F.lit(1.1), F.size(F.array_intersect("metric_terms", F.array(*map(F.lit, metrics)))))
-    if periods:
-        out = out * F.pow(F.lit(1.15), reduce(lambda a, b: a + b, [_any_contains(F.col("mentioned_dates"), p).cast("int") for p in periods]))
+    if (wanted := _strings(metrics)) is not None:
+        out = out * F.pow(F.lit(1.1), F.size(F.array_intersect("metric_terms", wanted)))
+    if (wanted := _strings(periods)) is not None:
+        dates = F.coalesce("mentioned_dates", F.array().cast("array<string>"))
+        out = out * F.pow(F.lit(1.15), F.size(F.filter(wanted, lambda p: F.exists(dates, lambda x: F.lower(x).contains(F.lower(p))))))
     return hits.withColumn("final_boost_score", out)
 
 
-def boost_explanation(hits: DataFrame, metrics: list[str], text: str = "text") -> DataFrame:
+def boost_explanation(hits: DataFrame, metrics: list[str] | Column, text: str = "text") -> DataFrame:
     """explanation_boost and boosted_score: change notes, causal phrases, and metrics in the text."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     boost = F.when(F.col("is_change_note"), 0.3).when(contains_any(low, P.CAUSAL), 0.2).otherwise(0.0)
-    if metrics:
-        boost = boost + F.when(contains_any(low, metrics), 0.1).otherwise(0.0)
+    if (wanted := _strings(metrics)) is not None:
+        boost = boost + F.when(F.exists(wanted, lambda m: low.contains(m)), 0.1).otherwise(0.0)
     return hits.withColumn("explanation_boost", boost).withColumn("boosted_score", F.col("score") + F.col("explanation_boost"))
 
 

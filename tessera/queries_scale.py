@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import ivf, joins, retrieval
+from tessera.plans import many
+from tessera.queries import _chunks_for_search as business_chunks
 from tessera.queries import query, table
 from tessera.sources.shared import shared_path
 
@@ -42,3 +44,10 @@ def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, asked = _asked(spark, sf_dir)
     index = ivf.IvfIndex.build(vectors, shared_path(spark, "ivf"))
     return ivf.recall(index.search(asked, K), retrieval.top_k_each(vectors, asked, K))
+
+
+@query("two_hop_questions")
+def two_hop_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The evidence for every turn of every user, all in one plan."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("query_id", F.concat_ws("/", "conv_id", "turn"))
+    return many.answer_each(business_chunks(spark, sf_dir), turns, query="text").select("query_id", "trail_position", "id", "hop", F.round("rerank_score", 6).alias("rerank_score"), "trail_role")
