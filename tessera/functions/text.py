@@ -34,12 +34,27 @@ def word_count(text: Column | str) -> Column:
     return F.regexp_count(_col(text), F.lit("[A-Za-z0-9]+"))
 
 
+#: White space as the reference's language knows it, wider than Java's: Unicode's and four separators.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+
+
+def _wide(pattern: str) -> str:
+    """A pattern whose white space is all of SPACES; in Java a class may stand within a class."""
+    return pattern.replace(r"\s", _SPACE)
+
+
+def stripped(text: Column | str) -> Column:
+    """Without white space of any kind at both ends, in one pass from each end."""
+    return F.btrim(_col(text), F.lit(SPACES))
+
+
 def clean_content(text: Column | str) -> Column:
     """Without extraction artefacts, tags and navigation, white space collapsed, trimmed; null becomes empty."""
     out = F.coalesce(_col(text), F.lit(""))
     for pattern, instead in P.CLEANING:
-        out = F.regexp_replace(out, pattern, instead)
-    return F.btrim(out)
+        out = F.regexp_replace(out, _wide(pattern) if pattern == r"\s+" else pattern, instead)
+    return stripped(out)
 
 
 def is_meaningful(text: Column | str, min_words: int = 3) -> Column:
@@ -48,15 +63,6 @@ def is_meaningful(text: Column | str, min_words: int = 3) -> Column:
     return (word_count(cleaned) >= min_words) & ~any_match(cleaned, P.NOISE)
 
 
-#: White space as the reference's language trims it, wider than SQL's: Unicode's and four separators.
-_SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
-
-
-def stripped(text: Column | str) -> Column:
-    """Without white space of any kind at both ends."""
-    return F.regexp_replace(_col(text), rf"^{_SPACE}+|{_SPACE}+\z", "")
-
-
 def is_ui_noise(text: Column | str) -> Column:
     """Under ten characters, a word of an interface, or one short word."""
     t = _col(text)
@@ -74,7 +80,7 @@ def clean_artefacts(text: Column | str) -> Column:
     """Text of HTML without entities, extraction artefacts and navigation; null becomes empty."""
     out = F.coalesce(_col(text), F.lit(""))
     for pattern, instead in P.HTML_ARTEFACTS:
-        out = F.regexp_replace(out, pattern, instead)
+        out = F.regexp_replace(out, _wide(pattern), instead)
     return stripped(out)
 
 
@@ -93,15 +99,15 @@ def lines(text: Column | str) -> Column:
 
 
 def is_heading(line: Column | str, max_level: int = 3) -> Column:
-    return _col(line).rlike(rf"^#{{1,{max_level}}}\s+")
+    return _col(line).rlike(_wide(rf"^#{{1,{max_level}}}\s+"))
 
 
 def heading_level(line: Column | str, max_level: int = 3) -> Column:
-    return F.length(F.regexp_extract(_col(line), rf"^(#{{1,{max_level}}})\s+", 1))
+    return F.length(F.regexp_extract(_col(line), _wide(rf"^(#{{1,{max_level}}})\s+"), 1))
 
 
 def heading_text(line: Column | str, max_level: int = 3) -> Column:
-    return stripped(F.regexp_extract(_col(line), rf"^#{{1,{max_level}}}\s+(.+)", 1))
+    return stripped(F.regexp_extract(_col(line), _wide(rf"^#{{1,{max_level}}}\s+(.+)"), 1))
 
 
 def is_key_value(line: Column | str) -> Column:

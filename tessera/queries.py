@@ -72,12 +72,20 @@ def _sql_all(column: str, found: list[str], group: int = 0) -> str:
     return f"array_to_string(list_sort(list_distinct({joined})), ';')"
 
 
+#: White space that is trimmed and collapsed, for SQL: all of Unicode's and the separators 28 to 31.
+_SPACE_SQL = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_TRIMMED_SQL = f"regexp_replace(regexp_replace(%s, '^{_SPACE_SQL}+', ''), '{_SPACE_SQL}+$', '')"
+
+
 def _sql_clean(column: str) -> str:
+    """Cleaning of chunks, written out for SQL: artefacts, tags, white space, navigation."""
     out = f"coalesce({column}, '')"
-    for pattern, instead in P.CLEANING:
-        i = pattern.startswith("(?i)")
-        out = f"regexp_replace({out}, '{pattern.removeprefix('(?i)')}', '{instead}', '{'gi' if i else 'g'}')"
-    return f"trim({out})"
+    for pattern in ("GLYPH<[^>]*>[^<]*</GLYPH>", "GLYPH&lt;[^&]*&gt;[^&]*", "/[^/]*GLYPH[^/]*/", "&lt;[^&]*&gt;", "<[^>]*>"):
+        out = f"regexp_replace({out}, '{pattern}', '', 'g')"
+    out = f"regexp_replace({out}, '{_SPACE_SQL}+', ' ', 'g')"
+    for pattern in (r"Home\s*>\s*Products\s*>\s*", "Skip to main content", "Toggle navigation", r"Search\s*Search\s*", r"Copyright\s*©\s*\d{4}"):
+        out = f"regexp_replace({out}, '{pattern}', '', 'gi')"
+    return _TRIMMED_SQL % out
 
 
 _SORTED = lambda c: F.array_join(F.array_sort(c), ";")
@@ -96,6 +104,18 @@ def _(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_content("text")).alias("cleaned"))
 
 
+#: Every document between a no-break space and an em space, with a separator and a tab in its words.
+WIDE = "concat(chr(160), replace(replace(text, 'e ', concat('e', chr(28), chr(160))), '. ', concat('.', chr(9), chr(8195))), chr(8195), chr(31))"
+_WIDE_SPARK = "concat('\u00a0', replace(replace(text, 'e ', 'e\u001c\u00a0'), '. ', '.\t\u2003'), '\u2003', '\u001f')"
+
+
+@query("clean_wide_space", f"SELECT doc_id, md5({_sql_clean(WIDE)}) AS cleaned, length({_TRIMMED_SQL % WIDE})::INT AS n_trimmed FROM documents")
+def clean_wide_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaning and trimming of every document with white space of many kinds in it."""
+    wide = table(spark, sf_dir, "documents").select("doc_id", F.expr(_WIDE_SPARK).alias("text"))
+    return wide.select("doc_id", F.md5(T.clean_content("text")).alias("cleaned"), F.length(T.stripped("text")).alias("n_trimmed"))
+
+
 @query("clean_business", f"SELECT o_orderkey, {_sql_clean(BUSINESS)} AS cleaned FROM orders")
 def _(spark, sf_dir):
     return business(spark, sf_dir).select("o_orderkey", T.clean_content("text").alias("cleaned"))

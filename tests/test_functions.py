@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from tessera.functions import query as Q
@@ -164,3 +166,14 @@ def test_contents_places_in_order():
     assert html_blocks.nav_links(page) == [(0, "only items", "", 1)]
     assert html_blocks.nav_links(page.replace("table-of-contents", "other")) == [(0, "B", "#b", 1), (1, "C", "#c", 2)]
     assert html_blocks.nav_links("<nav><a href=x>y</a></nav>") == []
+
+
+def test_trimming_is_linear_and_takes_all_white_space(spark):
+    long = "\t\u00a0" * 250_000 + "#" + " " * 500_000 + "x" + "\u3000" * 500_000
+    rows = spark.createDataFrame([(long,), ("\u00a0a \x1c\x1f b\u2003\t",), ("#\u00a0Head\u00a0",), (None,)], "t string")
+    rows.select(T.stripped("t")).collect()
+    began = time.time()
+    found = rows.select(T.stripped("t").alias("s"), T.clean_content("t").alias("c"), T.line_kind("t").alias("k"), T.heading_text("t").alias("h")).collect()
+    assert time.time() - began < 10
+    assert len(found[0].s) == 500_002 and found[0].c == "# x" and [r.c for r in found[1:]] == ["a b", "# Head", ""]
+    assert (found[2].k, found[2].h, found[1].s) == ("heading", "Head", "a \x1c\x1f b")
