@@ -9,7 +9,9 @@ from tessera.operators import ivf, joins, retrieval
 from tessera.plans import many
 from tessera.queries import _chunks_for_search as business_chunks
 from tessera.queries import query, table
+from tessera.sources.points import PointTable
 from tessera.sources.shared import shared_path
+from tessera.streaming import ingest, state
 
 #: Neighbours, and the queries of the vector searches: every twentieth row.
 K, EVERY = 10, 20
@@ -51,3 +53,47 @@ def two_hop_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evidence for every turn of every user, all in one plan."""
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("query_id", F.concat_ws("/", "conv_id", "turn"))
     return many.answer_each(business_chunks(spark, sf_dir), turns, query="text").select("query_id", "trail_position", "id", "hop", F.round("rerank_score", 6).alias("rerank_score"), "trail_role")
+
+
+@query("adaptive_thresholds", """
+WITH h AS (SELECT event_type AS intent, value / 100 AS confidence, (user_id % 10) / 10 AS relevance FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY epoch_us(ts) DESC, event_id DESC) <= 1000)
+SELECT intent, count(*) AS n, round(CASE WHEN count_if(confidence > 0.7) >= 5 THEN least(greatest(avg(CASE WHEN confidence > 0.7 THEN relevance END) - 0.1, 0.5), 0.95) ELSE 0.8 END, 6) AS threshold
+FROM h GROUP BY intent HAVING count(*) >= 10""")
+def adaptive_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The thresholds that each kind of event's last thousand give, by keyed state."""
+    e = table(spark, sf_dir, "events")
+    history = e.select(F.col("event_type").alias("intent"), F.unix_micros(F.col("ts").cast("timestamp")).alias("asked"), F.col("event_id").alias("id"), (F.col("value") / 100).alias("confidence"), (F.col("user_id") % 10 / 10).alias("relevance"))
+    return state.adaptive_thresholds(history).withColumn("threshold", F.round("threshold", 6))
+
+
+@query("cached_intents", """
+WITH q AS (SELECT conv_id * 1000 + turn AS id, lower(trim(coalesce(text, ''))) AS t, timestamp '2024-01-01' + INTERVAL 1 SECOND * (conv_id * 1000 + turn) AS ts FROM conversations WHERE role = 'user'),
+g AS (SELECT *, CASE WHEN epoch(ts - lag(ts) OVER (PARTITION BY t ORDER BY ts, id)) <= 3600 THEN 0 ELSE 1 END AS new FROM q)
+SELECT id, CASE WHEN regexp_matches(t, 'why|how|cause|reason') THEN 'explain' ELSE 'lookup' END AS intent, new = 0 AS cached,
+  row_number() OVER (PARTITION BY t, k ORDER BY ts, id) AS asked FROM (SELECT *, sum(new) OVER (PARTITION BY t ORDER BY ts, id) AS k FROM g)""")
+def cached_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's turn by a cache that forgets after an hour, a thousand seconds to a conversation."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'user'").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    asked = turns.select("id", "text", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("id"))).alias("ts"))
+    return state.cached_intents(asked)
+
+
+@query("upserted_points", """
+SELECT user_id, event_type, event_id, round(value, 4) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_type DESC, event_id DESC) = 1""")
+def upserted_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's last event, upserted by type after type, each played twice."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
+    points = PointTable(spark, shared_path(spark, "points"), e.schema, ("user_id",), ("event_id",))
+    for n, kind in enumerate(sorted(r[0] for r in e.select("event_type").distinct().collect())):  # a handful of types
+        for _ in range(2):
+            points.upsert(e.filter(F.col("event_type") == kind), n)
+    return points.read().withColumn("value", F.round("value", 4))
+
+
+@query("sliding_windows", """
+WITH w AS (SELECT event_type, value, unnest([0, 6, 12, 18]) AS back, ts FROM events)
+SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 1 HOUR * back, '%Y-%m-%d %H') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY ALL""")
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by type over days that begin every six hours."""
+    w = ingest.event_windows(table(spark, sf_dir, "events"), "24 hours", slide="6 hours")
+    return w.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))

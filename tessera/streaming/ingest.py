@@ -20,9 +20,10 @@ def chunk_stream(spark: SparkSession, source: str, schema: str, sink: str, check
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def event_windows(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Counts and sums by type and tumbling window; on a stream, events later than ``late`` are left out."""
-    return events.withWatermark("ts", late).groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+def event_windows(events: DataFrame, size: str = "1 day", late: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Counts and sums by type and tumbling window, or sliding ones that begin every ``slide``; on a stream, events later
+    than ``late`` are left out."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", size, slide).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
