@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.operators import folds
 
 #: Words under which a paragraph joins the one before; words under which neighbours merge; words that merging never exceeds.
 MIN_WORDS, TINY, MOST = 15, 10, 300
@@ -73,19 +74,11 @@ def chunk_markdown(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
 
 def merge_tiny(chunks: DataFrame, min_words: int = TINY, most: int = MOST) -> DataFrame:
     """One pass from left to right: neighbours merge unless both are large, either is a table, their headings differ or
-    the result is too long. Merged text is cleaned again, so this is a fold over each document's chunks."""
-    item = F.struct("ord", "chunk_type", "text", "h1", F.struct(*[c for c in chunks.columns if c not in ("doc_id", "ord", "chunk_type", "text", "h1")]).alias("rest"))
-    rows = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", item.alias("c")))).alias("rows")).withColumn("rows", F.transform("rows", lambda x: x["c"]))
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        a, b = T.word_count(last["text"]), T.word_count(x["text"])
-        joins = (F.size(done) > 0) & ~((a >= min_words) & (b >= min_words)) & (last["chunk_type"] != "table") & (x["chunk_type"] != "table") & (a + b <= most) & last["h1"].eqNullSafe(x["h1"])
-        merged = last.withField("text", T.clean_content(F.concat(last["text"], F.lit("\n\n"), x["text"]))).withField("chunk_type", F.lit("paragraph"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(merged))).otherwise(F.concat(done, F.array(x)))
-
-    folded = rows.select("doc_id", F.explode(F.aggregate("rows", F.slice(F.col("rows"), 1, 0), step)).alias("c"))
-    return folded.select("doc_id", "c.ord", "c.chunk_type", "c.text", "c.h1", "c.rest.*")
+    the result is too long. Merged text is cleaned again, so this is a fold over each document's chunks; what else a chunk
+    has is that of the first one. Null texts merge with nothing."""
+    columns = ["doc_id", "ord", *[c for c in chunks.columns if c not in ("doc_id", "ord")]]
+    rows = chunks.select(*columns)
+    return folds.fold(rows, ["doc_id"], ["ord"], lambda: folds.MergeTiny(min_words, most, columns), rows.schema).select(*chunks.columns)
 
 
 def fuse_lists(chunks: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
 
@@ -18,14 +20,14 @@ _HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _KEPT = _HEADS | {"p", "div", "ul", "ol", "li", "section", "article"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _BREAKS_P = _HEADS | {"p", "div", "ul", "ol", "section", "article", "table", "nav", "header", "footer", "form", "pre", "blockquote", "aside", "main", "dl"}
-_KV = [re.compile(p) for p in P.KEY_VALUE]
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "items")
+    __slots__ = ("tag", "attrs", "parent", "items", "depth", "span", "order", "last", "listed")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
         self.tag, self.attrs, self.parent, self.items = tag, attrs, parent, []
+        self.depth = parent.depth + 1 if parent else 0
 
     def walk(self) -> Iterator[Node]:
         """All elements below, in document order, without recursion."""
@@ -56,9 +58,12 @@ class Node:
 
 
 class _Builder(HTMLParser):
+    """Open elements are a path, and of each tag the depths at which it is open: closing needs no climb."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("", {}, None)
+        self.root = Node("", {}, None)
+        self.path, self.open = [self.root], defaultdict(list)
 
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in _BREAKS_P:
@@ -69,10 +74,11 @@ class _Builder(HTMLParser):
             self._close({"td", "th"}, {"tr", "table"})
         if tag == "tr":
             self._close({"tr"}, {"table"})
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.items.append(node)
+        node = Node(tag, {k: v or "" for k, v in attrs}, self.path[-1])
+        self.path[-1].items.append(node)
         if tag not in _VOID:
-            self.at = node
+            self.path.append(node)
+            self.open[tag].append(node.depth)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -83,15 +89,15 @@ class _Builder(HTMLParser):
         self._close({tag}, set())
 
     def handle_data(self, data: str) -> None:
-        self.at.items.append(data)
+        self.path[-1].items.append(data)
 
     def _close(self, tags: set[str], scope: set[str]) -> None:
-        node = self.at
-        while node.parent is not None and node.tag not in scope:
-            if node.tag in tags:
-                self.at = node.parent
-                return
-            node = node.parent
+        """Closes the innermost of ``tags``, unless one of ``scope`` is open within it."""
+        deepest = lambda names: max((self.open[t][-1] for t in names if self.open[t]), default=0)
+        depth = deepest(tags)
+        if depth and depth > deepest(scope):
+            while self.path[-1].depth >= depth:
+                self.open[self.path.pop().tag].pop()
 
 
 def dom(page: str) -> Node:
@@ -101,65 +107,108 @@ def dom(page: str) -> Node:
     return builder.root
 
 
-def _in_list(node: Node) -> bool:
-    up = node.parent
-    while up is not None:
-        if up.tag in ("ul", "ol"):
+class Page:
+    """A page's elements in document order. The stripped text fragments of the page are one string, of which each element has
+    a span, and its descendants are a run of the order: one walk finds what each element holds and whether a list holds it."""
+
+    def __init__(self, page: str) -> None:
+        self.root = dom(page)
+        self.nodes: list[Node] = []
+        pieces: list[str] = []
+        at, stack = 0, [(self.root, iter(self.root.items))]
+        self._enter(self.root, 0, False)
+        while stack:
+            node, items = stack[-1]
+            for x in items:
+                if isinstance(x, Node):
+                    self._enter(x, at, node.listed or node.tag in ("ul", "ol"))
+                    stack.append((x, iter(x.items if x.tag not in ("script", "style") else [i for i in x.items if isinstance(i, Node)])))
+                    break
+                if piece := x.strip():
+                    pieces.append(piece)
+                    at += len(piece)
+            else:
+                node.span, node.last = (node.span[0], at), len(self.nodes) - 1
+                stack.pop()
+        self.whole = "".join(pieces)
+        places = lambda *tags: [n.order for n in self.nodes if n.tag in tags]
+        self.terms, self.spans = places("dt", "dd"), places("span")
+
+    def _enter(self, node: Node, at: int, listed: bool) -> None:
+        node.span, node.order, node.listed = (at, at), len(self.nodes), listed
+        self.nodes.append(node)
+
+    def text(self, node: Node) -> str:
+        """Stripped text fragments joined without a separator."""
+        return self.whole[node.span[0] : node.span[1]]
+
+    def inside(self, node: Node, places: list[int]) -> tuple[int, int]:
+        """The run of ``places`` that are descendants of the node."""
+        return bisect_right(places, node.order), bisect_right(places, node.last)
+
+
+def _is_pair(text: str) -> bool:
+    """Exactly one colon, hyphen or equals sign, with something on both sides of it."""
+    for sign in ":-=":
+        first = text.find(sign)
+        if 0 < first < len(text) - 1 and text.find(sign, first + 1) < 0:
             return True
-        up = up.parent
     return False
 
 
-def is_key_value(node: Node, text: str) -> bool:
+def is_key_value(page: Page, node: Node, text: str) -> bool:
     """By the line patterns, a definition list, a label and a value span, or class names."""
-    if any(p.match(text) for p in _KV):
-        return True
-    inside = list(node.walk())
-    if any(x.tag in ("dt", "dd") for x in inside):
+    if _is_pair(text):
         return True
-    spans = [x for x in inside if x.tag == "span"]
-    if len(spans) == 2 and any("label" in c for c in spans[0].classes) and any("value" in c for c in spans[1].classes):
+    first, end = page.inside(node, page.terms)
+    if first < end:
         return True
+    first, end = page.inside(node, page.spans)
+    if end - first == 2:
+        label, value = (page.nodes[k] for k in page.spans[first:end])
+        if any("label" in c for c in label.classes) and any("value" in c for c in value.classes):
+            return True
     return any(name in c for c in node.classes for name in ("metric", "kv", "key-value"))
 
 
-def elements(page: str, max_level: int = 3) -> list[tuple[str, int | None, str]]:
+def elements(html: str, max_level: int = 3) -> list[tuple[str, int | None, str]]:
     """(kind, level, text) in document order; text of nested containers comes with each of them."""
     out: list[tuple[str, int | None, str]] = []
-    for node in dom(page).walk():
-        if node.tag not in _KEPT or (node.tag not in ("ul", "ol") and _in_list(node)):
+    page = Page(html)
+    for node in page.nodes:
+        if node.tag not in _KEPT or (node.tag not in ("ul", "ol") and node.listed):
             continue
-        text = node.text()
+        text = page.text(node)
         if not text:
             continue
         if node.tag in _HEADS:
             if (level := int(node.tag[1])) <= max_level:
                 out.append(("heading", level, text))
         elif node.tag in ("ul", "ol"):
-            if listed := "\n".join(f"• {t}" for x in node.children("li") if (t := x.text())):
+            if listed := "\n".join(f"• {t}" for x in node.children("li") if (t := page.text(x))):
                 out.append(("list", None, listed))
         elif node.tag != "li":
-            out.append(("kv" if is_key_value(node, text) else "text", None, text))
+            out.append(("kv" if is_key_value(page, node, text) else "text", None, text))
     return out
 
 
-def clean_blocks(page: str) -> list[tuple[str, int | None, str]]:
+def clean_blocks(html: str) -> list[tuple[str, int | None, str]]:
     """Content tags only: without navigation, headers, footers, forms and scripts; ordered lists are numbered."""
     ignored = {"nav", "header", "footer", "aside", "form", "script", "style", "noscript", "iframe", "button", "svg"}
     out: list[tuple[str, int | None, str]] = []
-    stack = [dom(page)]
+    page = Page(html)
+    stack = [page.root]
     while stack:
         node = stack.pop()
         if node.tag in ignored:
             continue
-        text = node.text() if node.tag in _HEADS | {"p", "ul", "ol", "blockquote", "pre"} else ""
         if node.tag in _HEADS:
-            out.append(("heading", int(node.tag[1]), text))
+            out.append(("heading", int(node.tag[1]), page.text(node)))
         elif node.tag in ("ul", "ol"):
-            items = [x.text() for x in node.children("li")]
+            items = [page.text(x) for x in node.children("li")]
             out.append(("list", None, "\n".join(f"{i}. {t}" if node.tag == "ol" else f"• {t}" for i, t in enumerate(filter(None, items), 1))))
         elif node.tag in ("p", "blockquote", "pre"):
-            out.append(("text", None, text))
+            out.append(("text", None, page.text(node)))
         else:
             stack.extend(x for x in reversed(node.items) if isinstance(x, Node))
     return [x for x in out if x[2]]

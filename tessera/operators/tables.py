@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from tessera.functions import text as T
+from tessera.operators import folds
 
 #: Words of a table chunk, and words that a header counts for.
 MAX_WORDS, HEADER_WORDS = 300, 3
@@ -39,22 +41,13 @@ def group_rows(rows: DataFrame, max_words: int = MAX_WORDS, header_words: int =
 
     A fold over a table's rows: what a row does depends on all before it.
     """
-    item = F.struct("row", "cells", "section", T.word_count(F.concat_ws(" ", "cells")).alias("words"))
-    tables = rows.filter(~F.col("header")).groupBy(*KEYS).agg(F.array_sort(F.collect_list(item)).alias("items"))
     heads = rows.filter("header").groupBy(*KEYS).agg(F.max(F.size("cells")).alias("headers"))
-    start = F.struct(F.slice(F.array(F.slice("items", 1, 1)), 1, 0).alias("done"), F.slice("items", 1, 0).alias("now"), F.lit(0).alias("words"))
-    base = F.coalesce("headers", F.lit(0)) * header_words
-
-    def step(a: Column, x: Column) -> Column:
-        full = (F.size(a["now"]) > 0) & (x["section"] | (a["words"] + F.col("base") + x["words"] > max_words))
-        return F.struct(
-            F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"),
-            F.when(full, F.array(x)).otherwise(F.concat(a["now"], F.array(x))).alias("now"),
-            F.when(full, x["words"]).otherwise(a["words"] + x["words"]).alias("words"),
-        )
-
-    folded = tables.join(heads, KEYS, "left").withColumn("base", base).select(*KEYS, F.aggregate("items", start, step, lambda a: F.when(F.size(a["now"]) > 0, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])).alias("groups"))
-    return folded.select(*KEYS, F.posexplode("groups").alias("group", "rows"))
+    words = T.word_count(F.concat_ws(" ", "cells")).cast("int").alias("words")
+    body = rows.filter(~F.col("header")).join(heads, KEYS, "left")
+    body = body.select(*KEYS, "row", "cells", "section", words, (F.coalesce("headers", F.lit(0)) * header_words).cast("int").alias("base"))
+    kinds = [body.schema[c] for c in ("row", "cells", "section", "words")]
+    schema = StructType([body.schema[k] for k in KEYS] + [StructField("group", IntegerType()), StructField("rows", ArrayType(StructType(kinds)))])
+    return folds.fold(body, KEYS, ["row"], lambda: folds.GroupRows(max_words), schema)
 
 
 def table_text(title: Column, headers: Column, rows: Column) -> Column:
@@ -96,17 +89,9 @@ def table_metadata(chunks: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def pack_rows(rows: DataFrame, key: str, order: str, size: str, capacity: float) -> DataFrame:
-    """Greedy packing in order: (key, group, first, last, total), a new group where the next row wouldn't fit."""
-    item = F.struct(F.col(order).alias("o"), F.col(size).cast("double").alias("s"))
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    shape = "array<struct<first:bigint,last:bigint,total:double>>"
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        fits = (F.size(done) > 0) & (last["total"] + x["s"] <= capacity)
-        grown = F.struct(last["first"].alias("first"), x["o"].alias("last"), (last["total"] + x["s"]).alias("total"))
-        fresh = F.struct(x["o"].alias("first"), x["o"].alias("last"), x["s"].alias("total"))
-        return F.when(fits, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(fresh))).cast(shape)
-
-    folded = grouped.select(key, F.posexplode(F.aggregate("items", F.array().cast(shape), step)).alias("group", "g"))
-    return folded.select(key, "group", "g.first", "g.last", "g.total")
+    """Greedy packing in order: (key, group, first, last, total), a new group where the next row wouldn't fit. A row without
+    a size takes no room."""
+    body = rows.select(key, F.col(order).alias("_place"), F.coalesce(F.col(size).cast("double"), F.lit(0.0)).alias("_size"))
+    place = body.schema["_place"].dataType
+    fields = [body.schema[key], StructField("group", IntegerType()), StructField("first", place), StructField("last", place), StructField("total", DoubleType())]
+    return folds.fold(body, [key], ["_place"], lambda: folds.PackRows(capacity), StructType(fields))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import ivf, joins, retrieval
+from tessera.operators import chunking, ivf, joins, retrieval
 from tessera.plans import many
 from tessera.queries import _chunks_for_search as business_chunks
-from tessera.queries import query, table
+from tessera.queries import _sql_clean, query, table
 from tessera.sources.points import PointTable
 from tessera.sources.shared import shared_path
 from tessera.streaming import ingest, state
@@ -97,3 +97,30 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by type over days that begin every six hours."""
     w = ingest.event_windows(table(spark, sf_dir, "events"), "24 hours", slide="6 hours")
     return w.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+_NEIGHBOURS = """SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) AS ord, o_orderkey % 11 = 0 AS is_table,
+  concat(o_orderpriority, CASE o_orderkey % 4 WHEN 0 THEN ' <b> home  > products >' WHEN 1 THEN '' ELSE ' was paid by the customer, who had asked for it' END, CASE WHEN o_orderkey % 6 = 0 THEN ' ...' ELSE concat(' on ', o_orderdate) END) AS text,
+  CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderstatus END AS h1 FROM orders"""
+
+
+def _merged(a: str, b: str) -> str:
+    return _sql_clean(f"{a} || chr(10) || chr(10) || {b}")
+
+
+@query("merge_tiny", f"""
+WITH RECURSIVE c AS ({_NEIGHBOURS}), n AS (SELECT *, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS words FROM c),
+f AS (SELECT doc_id, ord, ord AS first, is_table, text, h1, words, 0 AS g FROM n WHERE ord = 1 UNION ALL
+  SELECT doc_id, ord, CASE WHEN j THEN first ELSE ord END, CASE WHEN j THEN false ELSE n_table END, t, CASE WHEN j THEN h1 ELSE n_h1 END, len(regexp_extract_all(t, '[A-Za-z0-9]+')), CASE WHEN j THEN g ELSE g + 1 END FROM (
+    SELECT n.doc_id, n.ord, f.first, n.is_table AS n_table, f.h1, n.h1 AS n_h1, f.g, j, CASE WHEN j THEN {_merged("f.text", "n.text")} ELSE n.text END AS t FROM (
+      SELECT f.*, n.ord AS n_ord, NOT (f.words >= 10 AND n.words >= 10) AND NOT f.is_table AND NOT n.is_table AND f.words + n.words <= 40 AND f.h1 IS NOT DISTINCT FROM n.h1 AS j
+      FROM f JOIN n ON n.doc_id = f.doc_id AND n.ord = f.ord + 1) f JOIN n ON n.doc_id = f.doc_id AND n.ord = f.n_ord))
+SELECT doc_id, first AS ord, arg_max(md5(text), ord) AS text_md5, CAST(count(*) AS INT) AS n_merged FROM f GROUP BY doc_id, g, first""")
+def merge_tiny(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short texts of each customer's orders, neighbours merged: which is first, and how many a merged one is of."""
+    made = spark.sql(_NEIGHBOURS.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders"))
+    chunks = made.select("doc_id", "ord", F.when(F.col("is_table"), "table").otherwise("text").alias("chunk_type"), "text", "h1")
+    merged = chunking.merge_tiny(chunks, most=40).select("doc_id", "ord", F.md5("text").alias("text_md5"))
+    ends = Window.partitionBy("doc_id").orderBy("ord")
+    last = chunks.groupBy("doc_id").agg(F.max("ord").alias("_last"))
+    return merged.join(last, "doc_id").withColumn("n_merged", F.lead("ord").over(ends)).select("doc_id", "ord", "text_md5", (F.coalesce("n_merged", F.col("_last") + 1) - F.col("ord")).alias("n_merged"))
