@@ -64,8 +64,12 @@ def number(chunks: DataFrame) -> DataFrame:
 
 
 def chunk_markdown(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", max_level: int = 3) -> DataFrame:
-    """Chunks of Markdown or plain text: (doc_id, ord, chunk_id, chunk_type, text, h1, h2, h3, headings_path)."""
-    kinds = lines_of(docs, text_col, id_col).withColumn("kind", T.line_kind("line", max_level)).filter("kind <> 'skip'")
+    """Chunks of Markdown or plain text: (doc_id, ord, chunk_id, chunk_type, text, h1, h2, h3, headings_path).
+
+    Documents are dealt by id while they are whole; all that follows keeps that partitioning, so texts are shuffled once.
+    """
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
+    kinds = lines_of(whole).withColumn("kind", T.line_kind("line", max_level)).filter("kind <> 'skip'")
     level = F.when(F.col("kind") == "heading", T.heading_level("line", max_level))
     units = kinds.select("doc_id", "ord", "kind", level.alias("level"), F.when(F.col("kind") == "heading", T.heading_text("line", max_level)).otherwise(F.btrim("line")).alias("text"))
     out = number(merge_short(paragraphs(with_lineage(units))))

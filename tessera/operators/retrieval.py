@@ -165,13 +165,12 @@ def rebalance(hits: DataFrame, target: str, k: int, text: str = "text") -> DataF
     if target == "financial":
         return hits.orderBy(F.desc("score"), "ord").limit(k)
     marked = hits.withColumn("content_class", content_class(F.col(text), target))
-    quotas = (("target", int(k * 0.6)), ("relevant", int(k * 0.3)), (None, k))
-    found = None
-    for place, (name, quota) in enumerate(quotas):  # a top-k each: every task sends on its best, no group meets in one
-        mine = F.col("content_class") == name if name else ~F.col("content_class").isin("target", "relevant")
-        best = marked.filter(mine).orderBy(F.desc("score"), "ord").limit(quota).withColumn("_place", F.lit(place))
-        found = best if found is None else found.unionByName(best)
-    return found.orderBy("_place", F.desc("score"), "ord").limit(k).drop("_place")
+    place = F.when(F.col("content_class") == "target", 0).when(F.col("content_class") == "relevant", 1).otherwise(2)
+    # A rank up to a constant: every task keeps so many of each place before anything is shuffled, and classes are told once.
+    rank = F.row_number().over(Window.partitionBy("_place").orderBy(F.desc("score"), "ord"))
+    best = marked.withColumn("_place", place).withColumn("_rank", rank).filter(F.col("_rank") <= k)
+    quota = F.when(F.col("_place") == 0, int(k * 0.6)).when(F.col("_place") == 1, int(k * 0.3)).otherwise(k)
+    return best.filter(F.col("_rank") <= quota).orderBy("_place", F.desc("score"), "ord").limit(k).drop("_place", "_rank")
 
 
 def _strings(values: list[str] | Column | None) -> Column | None:

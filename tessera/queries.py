@@ -46,6 +46,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer pieces than there are cores is dealt out to all of them; a large one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def query(name: str, sql: str | None = None):
     """Register a query, and its SQL if there is one."""
 
@@ -59,7 +65,8 @@ def query(name: str, sql: str | None = None):
 
 
 def business(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.expr(BUSINESS).alias("text"))
+    """Orders with prose; they are dealt out first, as their texts are many times their size."""
+    return dealt(table(spark, sf_dir, "orders")).select("o_orderkey", "o_totalprice", F.expr(BUSINESS).alias("text"))
 
 
 def _sql_all(column: str, found: list[str], group: int = 0) -> str:
@@ -101,7 +108,7 @@ def _(spark, sf_dir):
 
 @query("clean_content", f"SELECT doc_id, md5({_sql_clean('text')}) AS cleaned FROM documents")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_content("text")).alias("cleaned"))
+    return dealt(table(spark, sf_dir, "documents")).select("doc_id", F.md5(T.clean_content("text")).alias("cleaned"))
 
 
 #: Every document between a no-break space and an em space, with a separator and a tab in its words.
@@ -112,7 +119,7 @@ _WIDE_SPARK = "concat('\u00a0', replace(replace(text, 'e ', 'e\u001c\u00a0'), '.
 @query("clean_wide_space", f"SELECT doc_id, md5({_sql_clean(WIDE)}) AS cleaned, length({_TRIMMED_SQL % WIDE})::INT AS n_trimmed FROM documents")
 def clean_wide_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaning and trimming of every document with white space of many kinds in it."""
-    wide = table(spark, sf_dir, "documents").select("doc_id", F.expr(_WIDE_SPARK).alias("text"))
+    wide = dealt(table(spark, sf_dir, "documents")).select("doc_id", F.expr(_WIDE_SPARK).alias("text"))
     return wide.select("doc_id", F.md5(T.clean_content("text")).alias("cleaned"), F.length(T.stripped("text")).alias("n_trimmed"))
 
 
@@ -126,7 +133,7 @@ WITH c AS (SELECT doc_id, {_sql_clean('text')} AS t FROM documents)
 SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9]+')) >= 3 AND NOT regexp_matches(t, '^[•\\-\\*\\s]+$') AND NOT regexp_matches(t, '^\\d+\\.$')
   AND NOT regexp_matches(t, '^[:\\s]*$') AND NOT regexp_matches(t, '^(Home|Menu|Search|Login|Logout)$', 'i') AS meaningful FROM c""")
 def _(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.is_meaningful("text").alias("meaningful"))
+    return dealt(table(spark, sf_dir, "documents")).select("doc_id", T.is_meaningful("text").alias("meaningful"))
 
 
 @query("metadata", f"""
@@ -231,7 +238,7 @@ SELECT doc_id, CASE WHEN regexp_matches(line, '^#{1,3}\\s+') THEN 'heading' WHEN
   WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(line, '[A-Za-z0-9]') AND length(trim(line)) > 1 THEN 'text' ELSE 'skip' END AS kind FROM l)
 SELECT doc_id, kind, count(*) AS n FROM k GROUP BY ALL""")
 def _(spark, sf_dir):
-    lines = chunking.lines_of(table(spark, sf_dir, "documents").filter("text IS NOT NULL"))
+    lines = chunking.lines_of(dealt(table(spark, sf_dir, "documents").filter("text IS NOT NULL")))
     return lines.groupBy("doc_id", T.line_kind("line").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -265,24 +272,24 @@ def _(spark, sf_dir):
 
 @query("html_elements")
 def _(spark, sf_dir):
-    return html_blocks.element_stream(table(spark, sf_dir, "pages"))
+    return html_blocks.element_stream(dealt(table(spark, sf_dir, "pages")))
 
 
 @query("html_clean_blocks")
 def _(spark, sf_dir):
-    return html_blocks.element_stream(table(spark, sf_dir, "pages"), clean=True)
+    return html_blocks.element_stream(dealt(table(spark, sf_dir, "pages")), clean=True)
 
 
 @query("html_chunks")
 def _(spark, sf_dir):
-    return html_blocks.chunk_html(table(spark, sf_dir, "pages"))
+    return html_blocks.chunk_html(dealt(table(spark, sf_dir, "pages")))
 
 
 @query("html_toc", """
 WITH n AS (SELECT page_id AS doc_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)">[^<]*</a>', 1) AS t, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]*">([^<]*)</a>', 1) AS x FROM pages)
 SELECT doc_id, CAST(generate_subscripts(x, 1) - 1 AS INT) AS ord, unnest(x) AS title, unnest(t) AS target, CAST(1 AS INT) AS level FROM n""")
 def _(spark, sf_dir):
-    return html_blocks.html_toc(table(spark, sf_dir, "pages"))
+    return html_blocks.html_toc(dealt(table(spark, sf_dir, "pages")))
 
 
 @query("html_tables", """
@@ -485,7 +492,7 @@ def _chunks_for_search(spark: SparkSession, sf_dir: str) -> DataFrame:
             _CACHED.popitem()[1].unpersist()
         kind = F.when(F.col("o_orderkey") % 5 == 0, "table").otherwise("paragraph").alias("chunk_type")
         b = business(spark, sf_dir).select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("doc_id"), F.lit(1).alias("page"), "text", kind)
-        meta = chunking.with_metadata(b.repartition(spark.sparkContext.defaultParallelism, "id"), {"metrics": ["revenue", "margin"]})
+        meta = chunking.with_metadata(b, {"metrics": ["revenue", "margin"]})
         lists = {"units": T.units("text"), "periods": T.periods("text"), "cell_samples": F.array().cast("array<string>")}
         _CACHED[key] = meta.withColumns(lists | {"headings_path": F.lit(None).cast("string"), "embedding": V.hash_embedding("text")}).persist()
     return _CACHED[key]
