@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import vocabulary
 from tessera.operators import chunking, ivf, joins, retrieval
 from tessera.plans import many
 from tessera.queries import _chunks_for_search as business_chunks
-from tessera.queries import _sql_clean, query, table
+from tessera.queries import _sql_clean, dealt, query, table
 from tessera.sources.points import PointTable
 from tessera.sources.shared import shared_path
 from tessera.streaming import ingest, state
@@ -124,3 +125,14 @@ def merge_tiny(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = Window.partitionBy("doc_id").orderBy("ord")
     last = chunks.groupBy("doc_id").agg(F.max("ord").alias("_last"))
     return merged.join(last, "doc_id").withColumn("n_merged", F.lead("ord").over(ends)).select("doc_id", "ord", "text_md5", (F.coalesce("n_merged", F.col("_last") + 1) - F.col("ord")).alias("n_merged"))
+
+
+@query("vocabulary_terms", """
+WITH v AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5b-\\x60\\x7b-\\x7f]{4,}'))) AS term FROM benchmark), d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents)
+SELECT doc_id, count(term) AS n_terms, md5(coalesce(string_agg(term, ' ' ORDER BY encode(term)), '')) AS terms_md5 FROM d LEFT JOIN v ON contains(t, term) GROUP BY doc_id""")
+def vocabulary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of the benchmark every whole document holds, by one automaton."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]{4,}"), 0)).alias("term")
+    terms = sorted(r[0] for r in table(spark, sf_dir, "benchmark").select(words).distinct().collect())  # a benchmark's words
+    found = vocabulary.with_terms(dealt(table(spark, sf_dir, "documents").select("doc_id", "text")), terms)
+    return found.select("doc_id", F.size("terms").cast("long").alias("n_terms"), F.md5(F.array_join(F.array_sort("terms"), " ")).alias("terms_md5"))
