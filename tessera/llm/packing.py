@@ -2,11 +2,12 @@
 
 Documents become pieces of at most ``capacity`` tokens. A configuration is a multiset of lengths that fits a sequence;
 the program asks for the fewest configurations that cover the histogram, and its dual for a price of each length such
-that no configuration costs over one. It is solved by multiplicative weights: a length's price falls by a constant
-factor as its share of the histogram gets covered, and a knapsack dynamic program over the prices finds the
-configuration worth most. Each is used as often as the pieces that are left allow, rounded down to whole sequences, so
-the sum of all steps is a whole solution; what is left when the program's part of the volume is placed (TAIL) goes
-best-fit decreasing, again on the histogram. The prices of any step bound the optimum from below.
+that no configuration costs over one. It is solved by multiplicative weights: a length's weight falls by a constant
+factor to the power of its coverage, a knapsack dynamic program over the prices finds the configurations worth most, and
+each step uses a little of them. The average of the steps is a fractional solution, the prices of any step bound the
+optimum from below, and the steps end when the two are close. Rounded down, it leaves a remainder that goes best-fit
+decreasing, again on the histogram. Only where best fit alone makes fewer sequences is its plan taken, so a plan never has
+more sequences than best fit's.
 
 Only the histogram (``capacity`` numbers) reaches the driver, and only the plan, whose size doesn't depend on the rows,
 goes back: a piece finds its place by its rank among the pieces of its length.
@@ -26,12 +27,14 @@ from tessera.llm.common import Memo, portions, stored, text_of
 from tessera.llm.wordcodec import Words, byte_letters, chunks, tokenizer_path
 
 CAPACITY, END = 2048, 0
-#: The share of the volume that rounding leaves to best fit, and the rate at which prices fall.
-TAIL, RATE = 0.08, 0.1
+#: The gap to the bound at which the program stops; the rates of its steps; how close to the best configuration others are
+#: used, as a part of the rate; lengths that are priced in all steps together, the least steps of a rate, and the steps
+#: after which a solution is looked at.
+GAP, RATES, CLOSE, WORK, MIN_STEPS, CHECKED = 0.002, (0.3, 0.1, 0.03, 0.01), 0.1, 60_000, 20, 10
+#: The share of the volume that rounding leaves to best fit.
+TAIL = 0.08
 #: Bytes of each of a worker's two memos: what a task of 16 MB meets, so that its words are encoded once.
 ENCODER_BYTES = 80 << 20
-#: Long pieces, which are harder to place later, cost a little more than their share of a sequence.
-CONVEXITY = 1.05
 #: Pieces of one length that are ranked in one task.
 RANKED = 200_000
 
@@ -101,78 +104,127 @@ def pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capa
     return picked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every room up to ``capacity``: the most that lengths which fit it are worth, and the length to take first
-    (zero: none, look at one less room). ``prices`` is indexed by length; negative ones aren't for sale."""
-    value, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    back, worth = np.zeros(capacity + 1), np.empty(capacity + 1)  # back[capacity - c] is value[c]
-    for c in range(1, capacity + 1):
-        now = np.add(back[capacity - c + 1 :], prices[1 : c + 1], out=worth[:c])
-        k = int(now.argmax())
-        if now[k] > value[c - 1]:
-            value[c], took[c] = now[k], k + 1
-        else:
-            value[c] = value[c - 1]
-        back[capacity - c] = value[c]
-    return value, took
-
-
-def configuration(prices: np.ndarray, left: np.ndarray, capacity: int) -> dict[int, int]:
-    """{length: times} worth most, of what is ``left``; a length that runs out is made up for by others."""
-    out: dict[int, int] = {}
-    prices, room = np.where(left > 0, prices, -1.0), capacity
-    while room > 0:
-        c, took, found = room, knapsack(prices[: room + 1], room)[1], {}
-        while c > 0:
-            x = int(took[c])
-            found[x] = found.get(x, 0) + 1
-            c -= x or 1
-        found.pop(0, None)
-        for x, k in found.items():
-            some = min(k, int(left[x]) - out.get(x, 0))
-            out[x] = out.get(x, 0) + some
-            room -= some * x
-            if out[x] == left[x]:
-                prices[x] = -1.0
-        if all(out[x] < left[x] for x in found):
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every room up to ``capacity``: the most that lengths which fit it are worth, the length to take first (zero: none)
+    and how many times. ``prices`` is indexed by length; those that aren't positive aren't for sale."""
+    value = np.zeros(capacity + 1)
+    took, times = np.zeros(capacity + 1, np.int64), np.zeros(capacity + 1, np.int64)
+    for x in np.flatnonzero(prices[: capacity + 1] > 0)[::-1].tolist():
+        k = 1
+        while k * x <= capacity:  # one, two, four, …: together any number of times
+            now = value[: capacity + 1 - k * x] + k * prices[x]
+            better = now > value[k * x :]
+            np.copyto(value[k * x :], now, where=better)
+            np.copyto(took[k * x :], x, where=better)
+            np.copyto(times[k * x :], k, where=better)
+            k *= 2
+    return value, took, times
+
+
+def columns(lengths: np.ndarray, took: np.ndarray, times: np.ndarray, capacity: int) -> list[tuple[tuple[int, int], ...]]:
+    """For each length the configuration worth most among those that hold it: ((length, times), ...), longest first."""
+    room = capacity - lengths
+    found: list[dict[int, int]] = [{int(x): 1} for x in lengths]
+    while (took[room] > 0).any():
+        for k in np.flatnonzero(took[room] > 0).tolist():
+            x = int(took[room[k]])
+            found[k][x] = found[k].get(x, 0) + int(times[room[k]])
+        room = room - took[room] * times[room]
+    return [tuple(sorted(c.items(), reverse=True)) for c in found]
+
+
+def program(need: np.ndarray, capacity: int, gap: float = GAP, work: int = WORK) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """For ``need`` by length: a fractional solution, the times that each configuration is used, and a lower bound on the
+    sequences of any packing: the best that the prices of any step gave, the volume's included.
+
+    Multiplicative weights: a step prices each length by its weight, the knapsack finds the best configurations, those
+    close to the best are used until some length is covered by the step's rate more, and weights fall by a constant factor
+    to the power of what was covered. The average of the steps of a rate is a solution; rates fall, as a smaller one comes
+    closer, and the weights go on from rate to rate. It ends within ``gap`` of the bound, or after ``work`` priced lengths.
+    """
+    lengths = np.flatnonzero(need)
+    wanted = need[lengths].astype(np.float64)
+    if not len(lengths):
+        return {}, 0.0
+    place = np.zeros(capacity + 1, np.int64)
+    place[lengths] = np.arange(len(lengths))
+    bound = float((lengths * wanted).sum()) / capacity
+    level = np.log(lengths / capacity)  # prices begin in proportion to length
+    prices, found, least = np.zeros(capacity + 1), {}, np.inf
+    each = max(MIN_STEPS, work // (len(lengths) * len(RATES)))
+    for rate in RATES:
+        used: dict[tuple[tuple[int, int], ...], float] = {}
+        covered, total = np.zeros(len(lengths)), 0.0
+        for step in range(each):
+            prices[lengths] = np.exp(level - level.max())
+            value, took, times = knapsack(prices, capacity)
+            best = value[capacity]
+            bound = max(bound, float((prices[lengths] * wanted).sum()) / best)
+            near = np.flatnonzero(prices[lengths] + value[capacity - lengths] >= (1 - CLOSE * rate) * best)
+            gain, share = np.zeros(len(lengths)), {}
+            for k, column in zip(near.tolist(), columns(lengths[near], took, times, capacity), strict=True):
+                amount = wanted[k] / dict(column)[int(lengths[k])]
+                share[column] = share.get(column, 0.0) + amount
+                for x, n in column:
+                    gain[place[x]] += n * amount / wanted[place[x]]
+            size = rate / gain.max()
+            for column, amount in share.items():
+                used[column] = used.get(column, 0.0) + amount * size
+                total += amount * size
+            covered += gain * size
+            level = level - gain * size
+            if covered.min() > 0 and total / covered.min() < least and step % CHECKED == 0 or step == each - 1:
+                scale = covered.min() if covered.min() > 0 else float((lengths * wanted * covered).sum() / (lengths * wanted).sum())
+                if not found or total / scale < least:
+                    least, found = total / scale, {column: amount / scale for column, amount in used.items()}
+            if least <= (1 + gap) * bound:
+                return found, bound
+    return found, bound
+
+
+def rounded(used: dict[tuple[tuple[int, int], ...], float], need: np.ndarray, tail: float = TAIL) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """The fractional solution with whole times, never over what is needed; ``need`` loses what they hold.
+
+    Times are rounded down; then configurations are used once more, the fullest first and of these the ones that lost most,
+    until only ``tail`` of the volume is left.
+    """
+    lengths = np.arange(len(need))
+    least = tail * float((lengths * need).sum())
+    times = dict.fromkeys(used, 0)
+
+    def use(column: tuple[tuple[int, int], ...], most: int) -> None:
+        n = min(most, min(int(need[x]) // k for x, k in column))
+        if n > 0:
+            times[column] += n
+            for x, k in column:
+                need[x] -= n * k
+
+    for column, amount in sorted(used.items(), key=lambda x: (-x[1], x[0])):
+        use(column, int(amount + 1e-9))
+    volume = float((lengths * need).sum())
+    for column in sorted(used, key=lambda c: (-sum(x * k for x, k in c), int(used[c]) - used[c], c)):
+        if volume <= least:
             break
-    return out
-
-
-def program(need: np.ndarray, capacity: int, tail: float = TAIL, rate: float = RATE) -> tuple[list[tuple[dict[int, int], int]], float]:
-    """For ``need`` by length: configurations with the whole number of times each is used, and a lower bound on the
-    sequences of any packing, the best that the prices gave (the volume's, that of prices by length, included)."""
-    x = np.arange(capacity + 1)
-    volume = float((x * need).sum()) / capacity
-    start, left, out, bound = (x / capacity) ** CONVEXITY, need.copy(), [], volume
-    while (x * left).sum() > tail * volume * capacity:
-        prices = np.where(need > 0, start * np.exp(-rate * (need - left) / np.maximum(need, 1)), -1.0)
-        if not out:  # no configuration is worth more than the knapsack's value: prices over it are a solution of the dual
-            worth = knapsack(prices, capacity)[0][capacity]
-            bound = max(bound, float((np.maximum(prices, 0) * need).sum() / worth))
-        found = configuration(prices, left, capacity)
-        times = min(int(left[c]) // k for c, k in found.items())
-        for c, k in found.items():
-            left[c] -= k * times
-        out.append((found, times))
-    return out, bound
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, tail: float = TAIL) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """[(configuration as ((length, times), ...), number of sequences)] that hold exactly the histogram's pieces."""
+        before = times[column]
+        use(column, 1)
+        volume -= (times[column] - before) * sum(x * k for x, k in column)
+    return [(column, n) for column, n in times.items() if n]
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = GAP, work: int = WORK) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """[(configuration as ((length, times), ...), number of sequences)] that hold exactly the histogram's pieces: the program's,
+    rounded, and best-fit decreasing for what is left; best-fit decreasing for all only where that makes fewer sequences."""
     need = np.zeros(capacity + 1, np.int64)
     for x, n in histogram.items():
         need[x] = n
-    out: list[tuple[tuple[tuple[int, int], ...], int]] = []
-    if need[capacity]:
-        out.append((((capacity, 1),), int(need[capacity])))
-        need[capacity] = 0
-    for found, times in program(need, capacity, tail)[0]:
-        for x, k in found.items():
-            need[x] -= k * times
-        out.append((tuple(sorted(found.items(), reverse=True)), times))
-    lengths = np.flatnonzero(need)
-    return out + _best_fit(lengths, need[lengths], capacity)
+    full = [(((capacity, 1),), int(need[capacity]))] if need[capacity] else []
+    need[capacity] = 0
+    lengths, left = np.flatnonzero(need), need.copy()
+    plain = _best_fit(lengths, need[lengths], capacity)
+    out = rounded(program(need, capacity, gap, work)[0], left)
+    lengths = np.flatnonzero(left)
+    out += _best_fit(lengths, left[lengths], capacity)
+    return full + min(out, plain, key=lambda groups: sum(n for _, n in groups))
 
 
 def _best_fit(lengths: np.ndarray, left: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
