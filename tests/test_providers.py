@@ -1,8 +1,10 @@
 import math
 import random
+import sys
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from tessera.functions import providers, vocabulary
@@ -11,6 +13,9 @@ from tessera.functions import vector as V
 from tessera.operators import toc
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import tests
+
+
 def test_terms_as_one_by_one(spark):
     rng = random.Random(4)
     letters = ["a", "B", "é", "Σ", " ", "日", "x"]
