@@ -33,7 +33,7 @@ CAPACITY, END = 2048, 0
 GAP, RATES, CLOSE, WORK, MIN_STEPS, CHECKED = 0.002, (0.3, 0.1, 0.03, 0.01), 0.1, 60_000, 20, 10
 #: The share of the volume that rounding leaves to best fit.
 TAIL = 0.08
-#: Bytes of each of a worker's two memos: what a task of 16 MB meets, so that its words are encoded once.
+#: Half the bytes of a worker's memo: it holds what a task of 16 MB meets, so that its words are encoded once.
 ENCODER_BYTES = 80 << 20
 #: Pieces of one length that are ranked in one task.
 RANKED = 200_000
@@ -42,7 +42,7 @@ RANKED = 200_000
 class Encoder:
     """Ids of the tokenizers library, as little-endian unsigned 32-bit integers in bytes.
 
-    Its model encodes a word once; chunks and words that were seen lately are looked up.
+    Its model encodes a word once; chunks and words that were seen lately are looked up in one memo.
     """
 
     def __init__(self, path: str, memo: int = ENCODER_BYTES) -> None:
@@ -55,39 +55,55 @@ class Encoder:
         self.words = Words(path)
         del self.words.spec
         self.letters = {b: ord(c) for b, c in enumerate(byte_letters())}
-        self.chunks, self.known = Memo(memo), Memo(memo)
+        self.known = Memo(2 * memo)  # of words and chunks: a word is a chunk too, with the same ids
+
+    def _word(self, word: str) -> bytes:
+        data = self.known.get(word)
+        if data is None:
+            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+            data = b"".join([t.id.to_bytes(4, "little") for t in tokens])
+            self.known.keep(word, data, len(word) + len(data))
+        return data
 
     def _chunk(self, chunk: str) -> bytes:
-        out = []
-        for word in self.words.of(chunk):
-            data = self.known.get(word)
-            if data is None:
-                tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
-                data = b"".join([t.id.to_bytes(4, "little") for t in tokens])
-                self.known.keep(word, data, len(word) + len(data))
-            out.append(data)
-        return b"".join(out)
+        words = self.words.of(chunk)
+        if words == [chunk]:
+            return self._word(chunk)
+        data = b"".join(map(self._word, words))
+        self.known.keep(chunk, data, len(chunk) + len(data))
+        return data
 
     def ids(self, text: str) -> bytes:
         if self.words.cut and self.words.cut.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        memo, out = self.chunks, []
-        for c in chunks(text):
-            data = memo.get(c)
-            if data is None:
-                data = self._chunk(c)
-                memo.keep(c, data, len(c) + len(data))
-            out.append(data)
+        known, parts = self.known, chunks(text)
+        out = list(map(known.get, parts))
+        if None in out:
+            for k, data in enumerate(out):
+                if data is None:
+                    data = known.get(parts[k])
+                    out[k] = self._chunk(parts[k]) if data is None else data
         return b"".join(out)
 
 
+_KEPT: dict[tuple[str, int], Encoder] = {}
+
+
+def kept_encoder(path: str, memo: int) -> Encoder:
+    """A worker's encoder: the tasks that it runs one after the other go on with what it has met."""
+    if (path, memo) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[path, memo] = Encoder(path, memo)
+    return _KEPT[path, memo]
+
+
 def pieces(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, path: str | None = None, memo: int = ENCODER_BYTES) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and one END, cut at ``capacity``; null texts are empty."""
     names, kinds = ["doc_id", "piece", "start", "length", "ids_crc32"], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
     path = path or tokenizer_path()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, memo)
+        encoder = kept_encoder(path, memo)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -276,7 +292,7 @@ def pack(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capaci
     """Pieces of ``docs`` with ``sequence_id`` and ``offset``; every sequence is filled from 0 without gaps.
 
     Repeated rows are packed as often as they come; ids may be null; an empty table gives no pieces; columns other than
-    id and text aren't looked at. ``memo`` bytes bound what each of a worker's two memos holds, and nothing else.
+    id and text aren't looked at. Twice ``memo`` bytes bound what a worker's memo holds, and nothing else.
     """
     cut, _ = stored(pieces(docs, text_col, id_col, capacity, path, memo), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # a row for each length
