@@ -408,8 +408,8 @@ def test_contexts_of_a_fixed_count_in_a_larger_corpus(spark):
     assert rows and all(r.train_tokens > 1_000_000 and r.score > r.base_score + 1 for r in rows)
 
 
-@pytest.mark.parametrize("depth", [1, 2, 3])
-def test_scores_as_brute_force(spark, monkeypatch, depth):
+@pytest.mark.parametrize(("depth", "seen"), [(1, 2), (2, 2), (3, 2), (1, 1), (2, 1)])
+def test_scores_as_brute_force(spark, monkeypatch, depth, seen):
     monkeypatch.setattr(pst, "CHUNK_TOKENS", 900)
     monkeypatch.setattr(pst, "SLICE", 100)
     rng = random.Random(21)
@@ -420,12 +420,12 @@ def test_scores_as_brute_force(spark, monkeypatch, depth):
     n, v = sum(grams[0].values()), len(grams[0])
     base = {w: (c + pst.PSEUDO) / (n + pst.PSEUDO * (v + 1)) for (w,), c in grams[0].items()}
     held = {}
-    told = lambda g: grams[len(g) - 1][g] if len(g) == 1 or (known(g[:-1]) and grams[len(g) - 1][g] >= 2 and grams[0][g[-1:]] >= pst.LEAST) else 0
+    told = lambda g: grams[len(g) - 1][g] if len(g) == 1 or (known(g[:-1]) and grams[len(g) - 1][g] >= seen and grams[0][g[-1:]] >= pst.LEAST) else 0
     known = lambda g: told(g) >= pst.LEAST
     for o in range(1, depth + 1):
         for context in grams[o - 1]:
             total = told(context)
-            after = {g[-1]: c for g, c in grams[o].items() if g[:-1] == context and c >= 2 and grams[0][g[-1:]] >= pst.LEAST}
+            after = {g[-1]: c for g, c in grams[o].items() if g[:-1] == context and c >= seen and grams[0][g[-1:]] >= pst.LEAST}
             if total < pst.LEAST or None in context or not after:
                 continue
             mass = sum(after.values())
@@ -449,7 +449,7 @@ def test_scores_as_brute_force(spark, monkeypatch, depth):
                     after, total, mass = held[tuple(w[at - o : at])]
                     p = (after.get(w[at], 0) + (pst.SMOOTHING + total - mass) * p) / (total + pst.SMOOTHING)
             want[k] += log10(p)
-    got = {r.doc_id: r.score for r in pst.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), depth=depth).collect()}
+    got = {r.doc_id: r.score for r in pst.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), depth=depth, seen=seen).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
