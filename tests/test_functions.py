@@ -1,7 +1,11 @@
+import random
+import re
 import time
 
 from pyspark.sql import functions as F
 
+from tessera.functions import patterns as P
+from tessera.operators import signals as S
 from tessera.functions import query as Q
 from tessera.functions import text as T
 from tessera.functions import vector as V
@@ -177,3 +181,29 @@ def test_trimming_is_linear_and_takes_all_white_space(spark):
     assert time.time() - began < 10
     assert len(found[0].s) == 500_002 and found[0].c == "# x" and [r.c for r in found[1:]] == ["a b", "# Head", ""]
     assert (found[2].k, found[2].h, found[1].s) == ("heading", "Head", "a \x1c\x1f b")
+
+
+def test_names_as_by_the_plain_patterns(spark):
+    rng = random.Random(5)
+    parts = ["Data", "a", "é", "1", "_", " ", " ", "v2.1", "system", "the", "new", "Launching", "offers", "X9", "ſ", "-", "version 3"]
+    rows = spark.createDataFrame([("".join(rng.choice(parts) for _ in range(12)),) for _ in range(400)], "t string")
+    pairs = [(F.regexp_extract_all("t", F.lit(a), 1), F.regexp_extract_all("t", F.lit(b), 1)) for a, b in zip(P.ENTITIES, P.FAST_ENTITIES, strict=True)]
+    for row in rows.select(*[F.struct(a.alias("a"), b.alias("b")) for a, b in pairs]).collect():
+        assert all(x.a == x.b for x in row)
+
+
+def test_matches_hold_what_their_patterns_need(spark):
+    found = [p for family in (*P.UNIVERSAL.values(), *P.POLICY_TAGS.values()) for p in family if P.needed(p)]
+    words = sorted({w for p in found for w in re.findall(r"[a-z&]+", p)} | {"was", "in 2024", "table 3"})
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(" ".join(rng.choice(words) for _ in range(14)),) for _ in range(600)] + [("",), (None,)], "t string")
+    plain = F.array(*[F.regexp_extract_all("t", F.lit(p), 0) for p in found])
+    asked = F.array(*[T.word_matches(F.col("t"), p, 0) for p in found])
+    got = rows.select(plain.alias("a"), asked.alias("b")).collect()
+    assert len(found) > 35 and all(r.a == r.b for r in got) and sum(any(r.a and r.a[k] for r in got) for k in range(len(found))) > 25
+
+
+def test_signals_and_tags_lower_a_text_once(spark):
+    for c in (Q.universal_signals(F.col("t")), T.policy_tags("t"), S.signal_array(F.col("t"), F.lit("x"))):
+        plan = spark.createDataFrame([("a",)], "t string").select(c.alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lower(t") == 1
