@@ -117,12 +117,14 @@ class IvfIndex:
             names = np.array(ids, np.int64)
 
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                best = R.Best(names, wanted, k)
                 for batch in batches:
                     keys, place = np.asarray(batch.column(0)), np.asarray(batch.column(2))
                     vectors = R.unit(R.matrix(batch.column(0), batch.column(1), centres.shape[1]))
                     for at in np.unique(place):
                         mine = place == at
-                        yield from R.best_of(names[askers[int(at)]], wanted[askers[int(at)]], keys[mine], vectors[mine], k, query_id, id_col)
+                        best.add(keys[mine], vectors[mine], asked=askers[int(at)])
+                yield from best.found(query_id, id_col)
 
             return read.mapInArrow(run, f"{query_id} long, {id_col} long, score double")
 

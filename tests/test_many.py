@@ -63,3 +63,37 @@ def test_lexical_score_by_column(spark):
     rows = spark.createDataFrame([("a b c", "c b x"), ("a", None), ("", "a")], "q string, t string")
     one = [[spark.range(1).select(V.lexical_score(q, F.lit(t).cast("string"))).first()[0]] for q, t in (("a b c", "c b x"), ("a", None), ("", "a"))]
     assert [list(r) for r in rows.select(V.lexical_score(F.col("q"), "t")).collect()] == one
+
+
+def test_a_task_sends_each_query_its_best_once():
+    rng = np.random.default_rng(4)
+    rows = R.unit(rng.normal(size=(40, 6))[rng.integers(0, 40, 3000)])
+    rows[7] = np.nan
+    asked, keys = R.unit(rng.normal(size=(30, 6))), rng.permutation(3000).astype(np.int64)
+    best = R.Best(np.arange(30) * 10, asked, 9)
+    best.WAITING = 100
+    for at in range(0, 3000, 250):
+        best.add(keys[at : at + 250], rows[at : at + 250])
+    sent = [r for batch in best.found("q", "id") for r in batch.to_pylist()]
+    assert len(sent) == 30 * 9
+    scores = np.round(asked @ rows.T, 12)
+    for n in range(30):
+        want = sorted((-s, k) for s, k in zip(scores[n], keys, strict=True) if not np.isnan(s))[:9]
+        assert [(-r["score"], r["id"]) for r in sent if r["q"] == n * 10] == want
+
+
+def test_prose_is_dealt_by_rows(spark, tmp_path, monkeypatch):
+    orders = spark.read.parquet(f"{SMALL}/orders.parquet")
+    orders.coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(queries, "DEALT", 50)
+    sizes = [len(x) for x in queries.business(spark, str(tmp_path)).select("o_orderkey").rdd.glom().collect()]
+    assert sum(sizes) == orders.count() and len(sizes) >= orders.count() // 50 and max(sizes) < 150
+
+
+def test_columns_of_chunks_without_hits_are_not_worked_out(spark):
+    chunks = spark.createDataFrame([(k, "9" if k < 3 else "x", [1.0]) for k in range(50)], "id long, text string, embedding array<double>")
+    hits = spark.createDataFrame([(1, 0), (1, 2), (2, 2)], "ask long, id long")
+    costly = F.col("text").cast("int").alias("n")  # an error for any chunk without hits
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    got = many.Run(chunks, two_hop.Settings()).with_chunks(hits, [costly]).collect()
+    assert sorted((r.ask, r.id, r.n) for r in got) == [(1, 0, 9), (1, 2, 9), (2, 2, 9)]
