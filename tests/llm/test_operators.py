@@ -453,6 +453,23 @@ def test_scores_as_brute_force(spark, monkeypatch, depth, seen):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_rare_words_are_told_apart(spark, monkeypatch):
+    """Words that are seen once to 29 times, in one chunk or many, count after a frequent context; what follows is by hand."""
+    monkeypatch.setattr(pst, "CHUNK_TOKENS", 40)
+    texts = [f"often r{k % 50} x{k}" for k in range(400)]
+    train = [k for k in range(400) if zlib.crc32(str(k).encode()) % 10]
+    words = Counter(w for k in train for w in [*texts[k].split(), None])
+    after = Counter(texts[k].split()[1] for k in train)
+    assert 0 < max(after.values()) < pst.LEAST and min(words[f"x{k}"] for k in train) == 1
+    n, v = sum(words.values()), len(words)
+    got = {r.doc_id: r.score for r in pst.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), depth=1).collect()}
+    base = lambda w: (words[w] + pst.PSEUDO) / (n + pst.PSEUDO * (v + 1))
+    for k, text in enumerate(texts):
+        often, rare, lone = text.split()
+        told = (after[rare] + pst.SMOOTHING * base(rare)) / (words["often"] + pst.SMOOTHING)
+        assert abs(got[k] - sum(map(log10, (base(often), told, base(lone), base(None))))) < 1e-9
+
+
 # -- HTML
 
 
