@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera import queries_scale
-from tessera.operators import ivf, joins, retrieval
+from tessera.functions import text as T
+from tessera.operators import chunking, ivf, joins, retrieval
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -87,3 +88,22 @@ def test_a_vector_of_another_size_is_named(spark):
 def test_recall_on_the_tables(spark):
     found = queries_scale.ivf_recall(spark, SMALL).collect()
     assert len(found) == math.ceil(500 / 20) and sum(r.recall for r in found) / len(found) >= 0.9
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_clean_texts_are_left_alone_as_cleaning_would_leave_them(spark):
+    odd = ["", " ", "a", "a b", " a", "a ", "a  b", "a\nb", "a　b", "a\x1cb", "​x", "<<b>b>x", "a < b", "&lt;x&gt; y", "/x GLYPHy/", "HOME > Products > x", "a skip to MAIN content b", "toggle navigation", "search search", "Copyright © 2024", "home alone", None]
+    rows = spark.createDataFrame([(x,) for x in odd], "t string").select("t", T.cleaned_again("t").alias("a"), T.clean_content("t").alias("b"), T.is_meaningful("t", 1).alias("m")).collect()
+    assert len(rows) == len(odd) and all(r.a == r.b for r in rows)
+    assert {r.t for r in rows if r.m} == {"a", "a b", " a", "a ", "a  b", "a\nb", "a　b", "a\x1cb", "​x", "<<b>b>x", "a < b", "&lt;x&gt; y", "HOME > Products > x", "a skip to MAIN content b", "home alone"}
+
+
+def test_tidying_cleans_a_text_once(spark):
+    """One place where a chunk's text is made, two where it is looked at, as conditions on what is made already."""
+    docs = spark.createDataFrame([(1, "# A\n\nSome <b>words</b> of a text &lt;x&gt; here\n\na: b\n\n* one\n* two")], "doc_id long, text string")
+    tidy = chunking.tidy(chunking.chunk_markdown(docs))
+    assert plan_of(tidy).count("Toggle navigation") <= 3
+    assert [r.text for r in tidy.collect()] == [r.text for r in tidy.filter(T.is_meaningful("text")).collect()]
