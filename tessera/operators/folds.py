@@ -123,13 +123,14 @@ class MergeTiny:
 
 
 class GroupRows:
-    """Rows of a table, (doc_id, table_id, row, cells, section, words, base): see :func:`tessera.operators.tables.group_rows`."""
+    """Rows of a table, (doc_id, table_id, row, cells, section, words, base, …): see :func:`tessera.operators.tables.group_rows`;
+    what else the table has is that of its last row."""
 
     def __init__(self, max_words: int) -> None:
         self.max_words, self.group, self.now, self.words = max_words, 0, [], 0
 
     def row(self, row: tuple) -> Iterator[tuple]:
-        doc_id, table_id, number, cells, section, words, base = row
+        doc_id, table_id, number, cells, section, words, base, *self.others = row
         self.key = (doc_id, table_id)
         if self.now and (section or self.words + base + words > self.max_words):
             yield from self.end()
@@ -138,7 +139,7 @@ class GroupRows:
 
     def end(self) -> Iterator[tuple]:
         if self.now:
-            yield (*self.key, self.group, self.now)
+            yield (*self.key, self.group, self.now, *self.others)
             self.group, self.now, self.words = self.group + 1, [], 0
 
 

@@ -42,11 +42,16 @@ def group_rows(rows: DataFrame, max_words: int = MAX_WORDS, header_words: int =
     A fold over a table's rows: what a row does depends on all before it.
     """
     heads = rows.filter("header").groupBy(*KEYS).agg(F.max(F.size("cells")).alias("headers"))
-    words = T.word_count(F.concat_ws(" ", "cells")).cast("int").alias("words")
     body = rows.filter(~F.col("header")).join(heads, KEYS, "left")
-    body = body.select(*KEYS, "row", "cells", "section", words, (F.coalesce("headers", F.lit(0)) * header_words).cast("int").alias("base"))
+    return _grouped(body, F.coalesce("headers", F.lit(0)) * header_words, [], max_words)
+
+
+def _grouped(body: DataFrame, base: Column, others: list[str], max_words: int) -> DataFrame:
+    """Rows without headers in groups, with other columns that all rows of a table share."""
+    words = T.word_count(F.concat_ws(" ", "cells")).cast("int").alias("words")
+    body = body.select(*KEYS, "row", "cells", "section", words, base.cast("int").alias("base"), *others)
     kinds = [body.schema[c] for c in ("row", "cells", "section", "words")]
-    schema = StructType([body.schema[k] for k in KEYS] + [StructField("group", IntegerType()), StructField("rows", ArrayType(StructType(kinds)))])
+    schema = StructType([body.schema[k] for k in KEYS] + [StructField("group", IntegerType()), StructField("rows", ArrayType(StructType(kinds))), *(body.schema[c] for c in others)])
     return folds.fold(body, KEYS, ["row"], lambda: folds.GroupRows(max_words), schema)
 
 
@@ -57,6 +62,25 @@ def table_text(title: Column, headers: Column, rows: Column) -> Column:
     return F.concat_ws("\n", F.concat(F.lit("Table: "), title), head, body)
 
 
+def titled_chunks(rows: DataFrame, min_words: int = 3, max_words: int = MAX_WORDS, header_words: int = HEADER_WORDS) -> DataFrame:
+    """What :func:`table_chunks` makes, of rows (doc_id, table_id, row, cells, section, header, label) that have their table's
+    title: windows over rows that are dealt by document once, so that what makes the rows runs once."""
+    table = Window.partitionBy(*KEYS)
+    order = Window.partitionBy("doc_id").orderBy(F.length("table_id"), "table_id")
+    whole = rows.repartition("doc_id").withColumns(
+        {
+            "headers": F.min_by("cells", F.when(F.col("header"), F.col("row"))).over(table),
+            "widest": F.max(F.when(F.col("header"), F.size("cells"))).over(table),
+            "table_no": F.dense_rank().over(order),
+        }
+    )
+    title = F.coalesce(F.nullif("label", F.lit("")), F.concat(F.lit("Table "), F.col("table_no").cast("string")))
+    body = whole.filter(~F.col("header")).withColumns({"title": title, "headers": F.coalesce("headers", F.array().cast("array<string>"))})
+    out = _grouped(body, F.coalesce("widest", F.lit(0)) * header_words, ["table_no", "title", "headers"], max_words)
+    out = out.withColumn("text", F.explode(F.array(table_text(F.col("title"), F.col("headers"), F.col("rows")))))
+    return out.filter(T.word_count("text") >= min_words).select(*KEYS, "table_no", "title", "group", "text")
+
+
 def table_chunks(matrix: DataFrame, titles: DataFrame, min_words: int = 3) -> DataFrame:
     """(doc_id, table_id, table_no, title, group, text): titles (doc_id, table_id, label) or "Table n", n by order among
     the document's tables (ids of one document differ in their number alone)."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import queries_scale
 from tessera.functions import text as T
-from tessera.operators import chunking, ivf, joins, retrieval
+from tessera.operators import chunking, html_blocks, ivf, joins, retrieval, tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -107,3 +107,14 @@ def test_tidying_cleans_a_text_once(spark):
     tidy = chunking.tidy(chunking.chunk_markdown(docs))
     assert plan_of(tidy).count("Toggle navigation") <= 3
     assert [r.text for r in tidy.collect()] == [r.text for r in tidy.filter(T.is_meaningful("text")).collect()]
+
+
+def test_pages_of_tables_are_parsed_once(spark):
+    page = "<h2>Orders</h2><table><tr><th>A</th><th>B</th></tr><tr></tr><tr><td>one 1</td><td></td></tr></table><table><caption>Cap</caption><tr><th>only</th></tr></table><table><tr><td>7</td><td>8</td><td>9</td></tr></table>"
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "<p>none</p>")], "page_id long, html string")
+    chunks = html_blocks.html_table_chunks(pages)
+    assert plan_of(chunks).count("MapInArrow") == 2  # the page's rows, and the groups of rows
+    cells = html_blocks.html_tables(pages).select("doc_id", F.concat(F.lit("html_table_"), F.col("table_no").cast("string")).alias("table_id"), "row", "col", "text", "column_header", "row_header", F.lit(False).alias("row_section"))
+    titles = html_blocks.html_table_titles(pages).select("doc_id", F.concat(F.lit("html_table_"), F.col("table_no").cast("string")).alias("table_id"), "label")
+    want = sorted(map(tuple, tables.table_chunks(cells, titles).collect()))
+    assert sorted(map(tuple, chunks.collect())) == want and len(want) == 2
