@@ -96,3 +96,15 @@ def test_columns_of_chunks_without_hits_are_not_worked_out(spark):
     costly = F.col("text").cast("int").alias("n")  # an error for any chunk without hits
     got = many.Run(chunks, two_hop.Settings()).with_chunks(hits, [costly]).collect()
     assert sorted((r.ask, r.id, r.n) for r in got) == [(1, 0, 9), (1, 2, 9), (2, 2, 9)]
+
+
+def test_metadata_of_chunks_are_not_worked_out_before_they_are_asked_for(spark):
+    chunks = queries._chunks_for_search(spark, SMALL)
+    assert {"mentioned_dates", "policy_tags", "entities", "embedding"} <= set(chunks.columns)
+    (cached,) = queries._CACHED.values()
+    assert set(cached.columns) == {"id", "doc_id", "page", "text", "chunk_type", "embedding"}
+
+
+def test_texts_are_embedded_together_as_one_by_one():
+    texts = ["Revenue fell 8%, revenue!", None, "", "ça va İstanbul", "--", "a a a b"]
+    assert (V.embed_texts(texts) == np.stack([V.embed_text(t) for t in texts])).all() and V.embed_texts([]).shape == (0, V.DIM)
