@@ -108,3 +108,16 @@ def test_metadata_of_chunks_are_not_worked_out_before_they_are_asked_for(spark):
 def test_texts_are_embedded_together_as_one_by_one():
     texts = ["Revenue fell 8%, revenue!", None, "", "ça va İstanbul", "--", "a a a b"]
     assert (V.embed_texts(texts) == np.stack([V.embed_text(t) for t in texts])).all() and V.embed_texts([]).shape == (0, V.DIM)
+
+
+def test_filters_of_a_search_are_tested_on_the_nearest_chunks_first(spark, monkeypatch):
+    rows = [(k, "revenue" if k % 3 else "margin of revenue", "a" if k % 4 else "b", [f"t{k % 5}"]) for k in range(60)]
+    chunks = spark.createDataFrame(rows, "id long, text string, chunk_type string, tags array<string>").withColumn("embedding", V.hash_embedding("text"))
+    searches = [("margin", 5, ("chunk_type:b",)), ("margin", 30, ("tags:*1*",)), ("revenue", 4, ()), ("margin", 3, ("chunk_type:none",))]
+    got = {}
+    for wide in (8, 1000):
+        monkeypatch.setattr(two_hop, "WIDE", wide)
+        got[wide] = [(r.ord, r.id) for r in two_hop._search_each(chunks, searches, two_hop.Settings()).orderBy("ord").collect()]
+    best = lambda fit: [k for k in sorted(range(60), key=lambda k: (k % 3 > 0, k)) if fit(k)]
+    want = [best(lambda k: k % 4 == 0)[:5], best(lambda k: k % 5 == 1)[:30], [k for k in range(60) if k % 3][:4], []]
+    assert got[8] == got[1000] == [(n * 1000 + place, k) for n, some in enumerate(want) for place, k in enumerate(some)]
