@@ -121,3 +121,19 @@ def test_filters_of_a_search_are_tested_on_the_nearest_chunks_first(spark, monke
     best = lambda fit: [k for k in sorted(range(60), key=lambda k: (k % 3 > 0, k)) if fit(k)]
     want = [best(lambda k: k % 4 == 0)[:5], best(lambda k: k % 5 == 1)[:30], [k for k in range(60) if k % 3][:4], []]
     assert got[8] == got[1000] == [(n * 1000 + place, k) for n, some in enumerate(want) for place, k in enumerate(some)]
+
+
+def test_details_are_worked_out_for_chunks_with_hits_only(spark):
+    chunks = spark.createDataFrame([(k, "9" if k < 3 else "x", [1.0]) for k in range(50)], "id long, text string, embedding array<double>")
+    hits = spark.createDataFrame([(1, 0), (1, 2), (2, 2)], "ask long, id long")
+    run = many.Run(chunks, two_hop.Settings(), lambda df: df.withColumn("n", F.col("text").cast("int")))  # an error for any other
+    assert sorted((r.ask, r.id, r.n) for r in run.with_chunks(hits, ["n"]).collect()) == [(1, 0, 9), (1, 2, 9), (2, 2, 9)]
+
+
+def test_pairs_that_single_precision_takes_for_equal_are_told_apart():
+    asked = R.unit(np.array([[1.0, 0.0, 0.0]]))
+    rows = R.unit(np.array([[1.0, 1e-5 * (50 - k), 1e-5] for k in range(50)]))
+    best = R.Best(np.array([7]), asked, 3)
+    best.add(np.arange(25), rows[:25])
+    best.add(np.arange(25, 50), rows[25:])
+    assert [r["id"] for batch in best.found("q", "id") for r in batch.to_pylist()] == [49, 48, 47]
